@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, sharding
+from . import decontam, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_simhash_covering": simhash.op2_simhash_covering,
         "op4_jump_hash": sharding.op4_jump_hash,
         "op5_quality_cascade": quality_rules.op5_quality_cascade,
+        "op6_prefix_filter": decontam.op6_prefix_filter,
     }
 
 
@@ -20,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_jump_hash": sharding.ORACLE,
         "op5_quality_cascade": quality_rules.ORACLE,
+        "op6_prefix_filter": decontam.ORACLE,
     }
