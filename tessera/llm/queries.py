@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, packing, quality_rules, sharding, simhash
+from . import decontam, packing, pii, quality_rules, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_jump_hash": sharding.op4_jump_hash,
         "op5_quality_cascade": quality_rules.op5_quality_cascade,
         "op6_prefix_filter": decontam.op6_prefix_filter,
+        "op7_information_content": pii.op7_information_content,
         "op9_island_packing": packing.op9_island_packing,
     }
 
