@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,6 +58,15 @@ def map_rows(df: DataFrame, schema: T.StructType | str, make: Callable[[], Calla
     return df.mapInArrow(run, schema)
 
 
+def ship(spark: SparkSession, value):
+    """A broadcast that workers without this package can open with ``opened``."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(held):
+    return pickle.loads(held.value)
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, opened, ship
 
 WINDOW = 10
 SHINGLE = 3
@@ -149,7 +149,7 @@ def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item
     blocks = list(_block_stream(benchmark, item, item_text)) or [[]]
     for at, block in enumerate(blocks):
         wanted = {s for _, words in block for s in _shingles(words)}
-        index = docs.sparkSession.sparkContext.broadcast(_Index(block, _corpus_counts(docs, text, wanted) if wanted else {}))
+        index = ship(docs.sparkSession, _Index(block, _corpus_counts(docs, text, wanted) if wanted else {}))
         last = at + 1 == len(blocks)
         fields = [f for f in docs.schema.fields if f.name != mark and (f.name != text or keep_text or not last)]
         names = [f.name for f in fields]
@@ -164,7 +164,7 @@ def _block_stream(benchmark, item, text):
 
 def _scanner(index, names, text, mark, clean_only):
     def make():
-        own = index.value
+        own = opened(index)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             k = batch.schema.get_field_index(mark)

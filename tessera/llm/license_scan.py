@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, opened, ship
 from .license_texts import TEMPLATES
 
 THRESHOLD = 0.8
@@ -155,12 +155,12 @@ def _cover(templates: Templates) -> list[str]:
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", texts: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row a document: key, license (best, or null), score, licenses (all, by name), scores."""
-    held = docs.sparkSession.sparkContext.broadcast(build(texts, threshold))
+    held = ship(docs.sparkSession, build(texts, threshold))
     slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     kind = slim.schema["k"].dataType.simpleString()
 
     def make():
-        own = held.value
+        own = opened(held)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             best, score, names, scores = [], [], [], []

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontam, license_scan, packing, pii, quality_rules, sentence_spans, sharding, simhash
+from . import classifier, decontam, license_scan, packing, pii, quality_rules, sentence_spans, sharding, simhash, suffix_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_dice": license_scan.op1_license_dice,
         "op2_simhash_covering": simhash.op2_simhash_covering,
+        "op3_interval_expansion": suffix_dedup.op3_interval_expansion,
         "op4_jump_hash": sharding.op4_jump_hash,
         "op5_quality_cascade": quality_rules.op5_quality_cascade,
         "op6_prefix_filter": decontam.op6_prefix_filter,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_interval_expansion": suffix_dedup.ORACLE,
         "op4_jump_hash": sharding.ORACLE,
         "op5_quality_cascade": quality_rules.ORACLE,
         "op6_prefix_filter": decontam.ORACLE,
