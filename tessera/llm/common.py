@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pickle
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -26,9 +28,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_OWN_DIR[0]}"
 
 
-def materialize(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+#: Rows that a file of an intermediate table holds before there are more files than the cluster has cores.
+FILE_ROWS = 1_000_000
+
+
+def materialize(df: DataFrame, rows: int | None = None, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    With ``rows``, a bound of its rows, what a shuffle has left is joined to as many files as there are cores,
+    or one for FILE_ROWS rows: each file costs the executors several calls to the file system.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -67,6 +79,14 @@ def opened(held):
     return pickle.loads(held.value)
 
 
+def per_worker(name: str, build: Callable):
+    """What ``build`` returns, made once in each Python worker, although functions come to it by value."""
+    held = sys.modules.setdefault("tessera_worker_cache", types.ModuleType("tessera_worker_cache")).__dict__
+    if name not in held:
+        held[name] = build()
+    return held[name]
+
+
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name), F.lit(""))
 

@@ -22,14 +22,13 @@ from __future__ import annotations
 
 import random
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, n_rows
+from .common import map_rows, materialize, n_rows, per_worker
 
 SEQUENCE = 1024
 END_ID = 2
@@ -49,7 +48,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from text to a uint32 array of ids, without special tokens; text that spells one is ordinary text."""
     import json
@@ -91,7 +89,7 @@ def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "te
     kind = docs.schema[key].dataType.simpleString()
 
     def make():
-        encode = encoder(tokenizer)
+        encode = per_worker(f"encoder {tokenizer}", lambda: encoder(tokenizer))
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, at, piece, start, length, crc = batch.column(0), [], [], [], [], []
@@ -256,19 +254,19 @@ def _epoch(islands: DataFrame, epoch: int, size: int, generations: int, populati
     return map_rows(islands.repartition("block", "island"), _EVOLVED, make)
 
 
-def _search(blocks: DataFrame, size: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
-    """(block, labels) for every (block, lengths): the best individual of its islands after ``epochs`` epochs."""
+def _search(blocks: DataFrame, n_blocks: int, size: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
+    """(block, labels) for every (block, lengths), ``n_blocks`` of them: the best individual of its islands after ``epochs`` epochs."""
     found = None
     at = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.expr("CAST(array() AS array<array<int>>)").alias("elites"))
     for epoch in range(epochs):
-        each = materialize(_epoch(at, epoch, size, generations, population))
+        each = materialize(_epoch(at, epoch, size, generations, population), n_blocks * islands)
         best = each.groupBy("block").agg(
             F.min_by("labels", F.struct("n_bins", "squares", "island")).alias("labels"),
             F.max("done").alias("done"),
             F.first("lengths").alias("lengths"),
             F.map_from_entries(F.collect_list(F.struct("island", "labels"))).alias("all"),
         )
-        best = materialize(best)
+        best = materialize(best, n_blocks)
         last = epoch + 1 == epochs
         over = best.select("block", "labels") if last else best.where("done").select("block", "labels")
         found = over if found is None else found.unionByName(over)
@@ -283,21 +281,22 @@ def _search(blocks: DataFrame, size: int, islands: int, epochs: int, generations
 
 def pack(docs: DataFrame, tokenizer: str | None = None, key: str = "doc_id", text: str = "text", size: int = SEQUENCE, block_items: int = BLOCK_ITEMS) -> DataFrame:
     """One row a piece: key, piece, start, length, ids_crc32, sequence_id, offset."""
-    cutting = materialize(pieces(docs, tokenizer or default_tokenizer(), key, text, size))
+    cutting = pieces(docs, tokenizer or default_tokenizer(), key, text, size)
+    cutting = materialize(cutting.repartition(F.xxhash64("k", "piece", "ids_crc32")), n_rows(docs))
     full = cutting.where(F.col("length") == size)
     full = full.select("*", F.monotonically_increasing_id().alias("bin"), F.lit(0).alias("round"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("offset"))
     # Pieces that agree in all they have are told apart by a number, so that each has a place of its own.
-    todo = materialize(cutting.where(F.col("length") < size).groupBy("k", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("copies")).select("k", "piece", "start", "length", "ids_crc32", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")))
+    todo = materialize(cutting.where(F.col("length") < size).groupBy("k", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("copies")).select("k", "piece", "start", "length", "ids_crc32", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")), n_rows(cutting))
     out, n = full, n_rows(todo)
     for turn in range(1, _ROUNDS + 1):
         n_blocks = max(1, -(-n // block_items))
         order = Window.partitionBy("block").orderBy(F.col("length").desc(), "k", "piece", "ids_crc32", "copy")
-        dealt = materialize(todo.withColumn("block", F.pmod(F.xxhash64("k", "piece", "ids_crc32", "copy", F.lit(turn)), F.lit(n_blocks))).withColumn("item", F.row_number().over(order) - 1))
+        dealt = materialize(todo.withColumn("block", F.pmod(F.xxhash64("k", "piece", "ids_crc32", "copy", F.lit(turn)), F.lit(n_blocks))).withColumn("item", F.row_number().over(order) - 1), n)
         blocks = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.col("length").cast("int")), asc=False).alias("lengths"))
-        placed = _search(blocks, size, ISLANDS, EPOCHS, GENERATIONS, POPULATION).select("block", F.posexplode("labels").alias("item", "bin"))
+        placed = _search(blocks, n_blocks, size, ISLANDS, EPOCHS, GENERATIONS, POPULATION).select("block", F.posexplode("labels").alias("item", "bin"))
         inside = Window.partitionBy("block", "bin").orderBy("item")
         placed = dealt.join(placed, ["block", "item"]).withColumn("offset", F.coalesce(F.sum("length").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        placed = materialize(placed.withColumn("filled", F.sum("length").over(Window.partitionBy("block", "bin"))).withColumn("round", F.lit(turn)))
+        placed = materialize(placed.withColumn("filled", F.sum("length").over(Window.partitionBy("block", "bin"))).withColumn("round", F.lit(turn)), n)
         last = n_blocks == 1 or turn == _ROUNDS
         over = placed if last else placed.where(F.col("filled") > size - NEARLY_FULL)
         out = out.unionByName(over.select(*full.columns))

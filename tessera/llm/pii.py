@@ -182,23 +182,24 @@ def _document_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFra
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """((h, len, terms) of the texts that hold something to sanitise, (e, term, pmi, ic) of what discloses)."""
-    seen = materialize(_evidence(docs, text))
     n = docs.count()
+    # Copies of one text give the same evidence, which is told apart from others by the text's hash.
+    seen = materialize(_evidence(docs, text).distinct(), n)
     pairs = seen.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
-    pairs = materialize(pairs.select("e", "term"))
+    pairs = materialize(pairs.select("e", "term"), n)
     df_t = _document_frequency(docs, text, pairs.select("term").distinct())
     # Each document once for an entity, and for an entity with a term.
     per_doc = seen.groupBy("h", "len", "e", "term").agg(F.max(F.lit(1)).alias("one"))
-    copies = materialize(_keyed(docs, text).groupBy("h", "len").agg(F.count("*").alias("copies")).join(seen.select("h", "len").distinct(), ["h", "len"], "left_semi"))
+    copies = materialize(_keyed(docs, text).groupBy("h", "len").agg(F.count("*").alias("copies")).join(seen.select("h", "len").distinct(), ["h", "len"], "left_semi"), n)
     per_doc = per_doc.join(copies, ["h", "len"])
     df_et = per_doc.join(pairs, ["e", "term"], "left_semi").groupBy("e", "term").agg(F.sum("copies").alias("df_et"))
     df_e = per_doc.join(pairs.select("e").distinct(), "e", "left_semi").select("h", "len", "e", "copies").distinct().groupBy("e").agg(F.sum("copies").alias("df_e"))
     scored = df_et.join(df_e, "e").join(df_t, "term")
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("df_e"))
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("df_et") / (F.col("df") * F.col("df_e")))
-    flagged = materialize(scored.select("e", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic"))))
+    flagged = materialize(scored.select("e", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic"))), n)
     terms = seen.select("h", "len", "e", "term").distinct().select("h", "len", "e").distinct().join(flagged.select("e", "term"), "e").groupBy("h", "len").agg(F.collect_set("term").alias("terms"))
-    return materialize(terms), flagged
+    return materialize(terms, n), flagged
 
 
 def all_spans(t: str, terms: set[str]) -> list[tuple[str, int, int]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import map_rows, materialize, n_rows
 
 SPAN_SENTENCES = 3
 SPAN_WORDS = 40
@@ -99,7 +99,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
     where = F.struct(F.col("k").isNotNull().alias("known"), "k", "th", "place")
     # How many different places a span has: identical rows are one document, so smallest against largest place.
     firsts = found.groupBy("h1", "h2").agg(F.min(where).alias("first"), F.max(where).alias("last")).where("first <> last").select("h1", "h2", "first")
-    firsts = materialize(firsts)
+    firsts = materialize(firsts, n_rows(found))
     later = found.join(firsts, ["h1", "h2"]).where(where != F.col("first"))
     return later.groupBy("k", "th").agg(F.collect_set(F.struct("place", "n")).alias("covered"), F.collect_set(F.col("first.k")).alias("firsts"))
 
@@ -107,7 +107,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", mos
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """One row a document: key, n_sentences, n_removed, kept_text, first_in (keys that hold the first places)."""
     keyed = _keyed(docs, key, text)
-    gone = materialize(repeated_spans(docs, key, text, **params)).withColumnRenamed("k", "gk").withColumnRenamed("th", "gth")
+    gone = materialize(repeated_spans(docs, key, text, **params), n_rows(docs)).withColumnRenamed("k", "gk").withColumnRenamed("th", "gth")
     both = keyed.join(gone, F.col("k").eqNullSafe(F.col("gk")) & (F.col("th") == F.col("gth")), "left").select("k", "t", "covered", "firsts")
     kind = keyed.schema["k"].dataType.simpleString()
 

@@ -89,7 +89,7 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str
     )
     counted = slim.groupBy("k", "size", "crc").agg(F.count("*").alias("copies"))
     counted = counted.withColumn("at", jump_shards(F.col("k"), [n_shards, n_shards + 1]))
-    counted = materialize(counted.select("k", "size", "crc", "copies", F.col("at.s0").alias("shard"), F.col("at.s1").alias("grown")))
+    counted = materialize(counted.select("k", "size", "crc", "copies", F.col("at.s0").alias("shard"), F.col("at.s1").alias("grown")), n_rows(docs))
     blocks = max(1, -(-n_rows(counted) // slot_block_rows))
     counted = counted.withColumn("block", F.pmod(F.xxhash64("k", "size", "crc"), F.lit(blocks)).cast("int"))
     inside = Window.partitionBy("shard", "block").orderBy(F.col("k").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_rows, materialize
+from .common import fresh_name, map_rows, materialize, n_rows
 
 RADIUS = 3
 BITS = 64
@@ -180,8 +180,8 @@ def _link_buckets(entries: DataFrame, n_parts: int | None = None) -> DataFrame:
     return grouped.sortWithinPartitions("path", "key", "fp").mapInArrow(run, "path bigint, a bigint, b bigint")
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b): links that connect the same components as all pairs of ``fps`` (distinct, column fp) within the radius."""
+def links(fps: DataFrame, n: int) -> DataFrame:
+    """(a, b): links that connect the same components as all pairs of ``fps`` (``n`` distinct, column fp) within the radius."""
     found = None
     todo, paths = fps.select(F.lit(0).cast("long").alias("path"), "fp"), [0]
     while True:
@@ -190,7 +190,7 @@ def links(fps: DataFrame) -> DataFrame:
         tables = F.create_map(*[x for p, ms in masks.items() for x in (F.lit(p).cast("long"), F.array(*[F.lit(_signed(m)).cast("long") for m in ms]))])
         entries = todo.select("path", "fp", F.posexplode(tables[F.col("path")]).alias("v", "mask"))
         entries = entries.select((F.shiftleft("path", 4) + F.col("v") + 1).alias("path"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
-        done = materialize(_link_buckets(entries))
+        done = materialize(_link_buckets(entries), n * len(_TABLES))
         edges = done.where("path = -1").select("a", "b")
         found = edges if found is None else found.unionByName(edges)
         paths = [r[0] for r in done.where("path >= 0").select("path").distinct().collect()]  # at most 15 a level and path
@@ -235,36 +235,43 @@ def _contract(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(run, "u bigint, v bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node reachable."""
-    at = materialize(_contract(edges.select("a", "b")).distinct())
+def components(edges: DataFrame, n: int) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b) over at most ``n`` nodes: root is the smallest node reachable."""
+    at = materialize(_contract(edges.select("a", "b")).distinct(), n)
     last = None
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), n)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(low, "u")
-        at = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        at = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
         mark = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == last:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         last = mark
 
 
+def _prints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(key, fp) for every row; dealt out by key so that the table has few files, however many the texts had."""
+    return materialize(with_fingerprint(docs.select(key, text), text, width).repartition(F.xxhash64(key, "fp")), n_rows(docs))
+
+
 def _groups(prints: DataFrame, key: str) -> DataFrame:
     """(fp, component_id) for the distinct fingerprints of ``prints`` (key, fp)."""
-    reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")))
-    roots = components(links(reps.select("fp")))
-    rooted = materialize(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    names = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")))
+    n = n_rows(prints)
+    reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), n)
+    n = n_rows(reps)
+    roots = components(links(reps.select("fp"), n), n)
+    rooted = materialize(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), n)
+    names = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), n)
     return rooted.join(names, "root").select("fp", "component_id", "root")
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row a document: key, fingerprint (16 hex digits), component_id (smallest key reachable)."""
-    prints = materialize(with_fingerprint(docs.select(key, text), text, width))
-    groups = materialize(_groups(prints, key))
+    prints = _prints(docs, key, text, width)
+    groups = materialize(_groups(prints, key), n_rows(prints))
     out = prints.join(groups, "fp")
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -274,11 +281,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
 
     Of repeated rows with that key one stays. A component whose keys are all null keeps one of its rows.
     """
-    prints = materialize(with_fingerprint(docs.select(key, text), text, width))
-    groups = materialize(_groups(prints, key))
-    ids = materialize(prints.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")))
+    prints = _prints(docs, key, text, width)
+    n = n_rows(prints)
+    groups = materialize(_groups(prints, key), n)
+    ids = materialize(prints.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), n)
     kept = groups.select(F.col("component_id").alias(key)).where(F.col(key).isNotNull()).distinct().join(ids, key)
-    kept = materialize(kept)
+    kept = materialize(kept, n)
     once = docs.join(kept.where("n = 1").select(key), key, "left_semi")
     many = docs.join(kept.where("n > 1").select(key), key, "left_semi").dropDuplicates([key])
     mark = fresh_name(docs, "row")
