@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,3 +27,16 @@ def local_session(cpus: int | None = None, shuffle_partitions: int | None = None
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_OWN: list[str] = []
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as the cluster names it; one of our own where none is named, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named.rstrip("/")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
+    return f"file://{_OWN[0]}"
