@@ -12,7 +12,7 @@ def _grids(spark, sf_dir):
     return fixture(spark, sf_dir, GRIDS_SPARK)
 
 
-def _flat(df, digits=6):
+def _flat(df, digits=8):
     return df.select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", F.round("v", digits).alias("v"))
 
 
@@ -40,7 +40,7 @@ def feature_stack(spark, sf_dir):
 
 def fit(spark, sf_dir):
     mean, std = im.ImagePreprocessor().fit(_grids(spark, sf_dir)).fitted
-    return spark.createDataFrame([(mean, std)], "mean double, std double").select(F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+    return spark.createDataFrame([(mean, std)], "mean double, std double").select(F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
 def process(spark, sf_dir):
@@ -101,7 +101,7 @@ _EQ = "floor((count(*) OVER (PARTITION BY image_id ORDER BY v RANGE BETWEEN UNBO
 
 
 def _px(expr, source="x"):
-    return f"SELECT image_id, i::INT AS i, round({expr}, 6) AS v FROM {source}"
+    return f"SELECT image_id, i::INT AS i, round({expr}, 8) AS v FROM {source}"
 
 
 _PROC = f"""{_G}, e AS (SELECT image_id, i, y, x, {_EQ} AS v FROM x), el AS (SELECT image_id, list(v ORDER BY i) AS p FROM e GROUP BY 1),
@@ -126,6 +126,6 @@ q AS (SELECT *, floor(sx)::INT AS x0, floor(sy)::INT AS y0, sx - floor(sx) AS fx
     "img_sobel": f"{_G} SELECT image_id, i::INT AS i, round({_MAG}, 6) AS magnitude, round({_DIR}, 6) AS direction FROM x",
     "img_lbp": f"{_G} " + _px(_LBPV),
     "img_feature_stack": f"{_G} SELECT image_id, 4 AS channels, 256 AS n, round(sum(v) + sum({_MAG}) + sum({_DIR}) + sum({_LBPV}), 3) AS total FROM x GROUP BY 1",
-    "img_fit": f"{_PROC} SELECT round(m, 6) AS mean, round(s, 6) AS std FROM f",
-    "img_process": f"{_PROC} SELECT image_id, i::INT AS i, round((v - m) / s, 6) AS v FROM b, f",
+    "img_fit": f"{_PROC} SELECT round(m, 8) AS mean, round(s, 8) AS std FROM f",
+    "img_process": f"{_PROC} SELECT image_id, i::INT AS i, round((v - m) / s, 8) AS v FROM b, f",
 }

@@ -40,9 +40,9 @@ def active_access(spark, sf_dir):
 
 
 def access_at(spark, sf_dir):
-    """Orders of a patient that fall within another grant to the same professional."""
+    """Reads 30 days after each grant that some grant of the patient to the professional covers."""
     grants = _access(spark, sf_dir)
-    reads = grants.select(F.col("id").alias("read_id"), "patient_id", "professional_id", F.col("created_at").alias("at"))
+    reads = grants.select(F.col("id").alias("read_id"), "patient_id", "professional_id", (F.col("created_at") + F.expr("INTERVAL 30 DAYS")).alias("at"))
     return rel.access_at(grants, reads).select("read_id")
 
 
@@ -106,7 +106,7 @@ ORACLE = {
     "rel_user_lookup": f"WITH {_U} SELECT * FROM u WHERE email = 'user77@example.org'",
     "rel_json_extract": f"SELECT event_type AS data_type, {_SRC} AS source, (props->>'$.k')::BIGINT AS k, count(*) AS n FROM events GROUP BY ALL",
     "rel_active_access": f"{_A} SELECT professional_id, count(*) AS n_grants, count(DISTINCT patient_id) AS n_patients FROM a WHERE created_at <= TIMESTAMP '1997-01-01' AND (expires_at IS NULL OR TIMESTAMP '1997-01-01' < expires_at) GROUP BY 1",
-    "rel_access_at": f"{_A} SELECT r.id AS read_id FROM a r WHERE EXISTS (SELECT 1 FROM a g WHERE g.patient_id = r.patient_id AND g.professional_id = r.professional_id AND g.created_at <= r.created_at AND (g.expires_at IS NULL OR r.created_at < g.expires_at))",
+    "rel_access_at": f"{_A} SELECT r.id AS read_id FROM a r WHERE EXISTS (SELECT 1 FROM a g WHERE g.patient_id = r.patient_id AND g.professional_id = r.professional_id AND g.created_at <= r.created_at + INTERVAL 30 DAYS AND (g.expires_at IS NULL OR r.created_at + INTERVAL 30 DAYS < g.expires_at))",
     "rel_dedup_device": "SELECT l_orderkey AS id, l_suppkey AS user_id, l_partkey AS device_id, l_linenumber AS n FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey, l_partkey ORDER BY l_orderkey, l_linenumber) = 1",
     "rel_defaults": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN 'write' ELSE 'read' END AS access_level FROM orders",
     "rel_cascade_delete": f"{_A}, {_U}, gone AS (SELECT id FROM u WHERE id % 3 = 0) SELECT id, patient_id, professional_id FROM a WHERE patient_id NOT IN (SELECT id FROM gone) AND professional_id NOT IN (SELECT id FROM gone)",
