@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 MIN_LENGTH = 50
-ANCHOR = 16
+ANCHOR = 24
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 #: Places of a minimizer above which its windows are dealt out one by one.
@@ -106,9 +106,12 @@ def _groups(texts: list[bytes], length: int, part: int = 1 << 20) -> Iterator[tu
         yield flush()
 
 
-def anchors(buffer: bytes, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(minimizer as 48 bits, first window, windows, item) of the runs of windows, inside one item of the buffer, that have one minimizer."""
-    low = _sliding_min(gram_hashes(np.frombuffer(buffer, np.uint8), gram), length - gram + 1)
+def anchors(hashes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimizer as 48 bits, first window, windows, item) of the runs of windows, inside one item of a buffer, that have one minimizer.
+
+    ``hashes`` are those of the buffer's grams, ``begins`` the places where its items begin, and its end.
+    """
+    low = _sliding_min(hashes, length - gram + 1)
     item = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[: len(low)]
     beyond = begins[item + 1] - length + 1  # the first place from which no window fits
     new = np.concatenate(([True], (low[1:] != low[:-1]) | (item[1:] != item[:-1])))
@@ -212,11 +215,6 @@ def smallest_holder(segments: list[bytes], holders: list[int], length: int = MIN
     return [by_place[a : a + n - length + 1] for a, n in zip(begins.tolist(), sizes.tolist())]
 
 
-def _runs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    start = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-    return start, np.append(start[1:], len(v))
-
-
 def _chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
     """The documents as (t, row, key, id, b): chunk, place in it, key as given and as a number, bytes; in buckets by chunk."""
     spark = docs.sparkSession
@@ -255,7 +253,7 @@ def _minimizers(chunks: DataFrame, length: int, gram: int) -> DataFrame:
         at, hs, texts, size, n_hs = None, [], [], 0, 0
 
         def take():
-            hs.extend(anchors(buffer, begins, length, gram)[0] for buffer, _, _, begins in _groups(texts, length))
+            hs.extend(anchors(gram_hashes(np.frombuffer(buffer, np.uint8), gram), begins, length, gram)[0] for buffer, _, _, begins in _groups(texts, length))
             texts.clear()
             return sum(map(len, hs))
 
@@ -297,143 +295,239 @@ def _member(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
 
 
-def _segments(texts: list[bytes], wanted: np.ndarray, length: int, gram: int) -> dict[tuple[int, int, bytes], list[tuple[int, int]]]:
-    """(key, mark, segment) to its places (row, start) for the wanted minimizers of a chunk.
+class _Segments:
+    """The segments of the wanted minimizers of a chunk, the distinct ones in an order that the chunk's content alone decides.
 
-    A minimizer is its own mark and key. That of a hot one is negative, and the key is then the negative hash of a window.
+    Segment k has key[k], mark[k], its number sid[k] among those of its key, and the places first[k]:first[k + 1] of
+    row and place. A minimizer is its own mark and key; that of a hot one is negative, and the key is then the
+    negative hash of a window. Segments of one key are told apart by a 64-bit hash of their bytes.
     """
-    plain, hot = np.sort(wanted[wanted >= 0]), np.sort(-1 - wanted[wanted < 0])
-    out: dict[tuple[int, int, bytes], list[tuple[int, int]]] = {}
-    for buffer, rows, places, begins in _groups(texts, length):
-        h, start, n, item = anchors(buffer, begins, length, gram)
-        row, place = rows[item], start - begins[item] + places[item]
-        on = np.flatnonzero(_member(h, plain))
-        for k, a, m, r, p in zip(*(c[on].tolist() for c in (h, start, n, row, place))):
-            out.setdefault((k, k, buffer[a : a + m + length - 1]), []).append((r, p))
-        if len(hot) and len(on := np.flatnonzero(_member(h, hot))):
-            whole = gram_hashes(np.frombuffer(buffer, np.uint8), length) >> np.uint64(1)
-            for k, a, m, r, p in zip(*(c[on].tolist() for c in (h, start, n, row, place))):
-                for w in range(m):
-                    out.setdefault((-1 - int(whole[a + w]), -1 - k, buffer[a + w : a + w + length]), []).append((r, p + w))
-    return out
 
-
-def _numbered(found: dict) -> list[tuple[int, int, int, bytes]]:
-    """(key, mark, number among the segments of both, segment) in an order that the chunk's content alone decides."""
-    out, last, number = [], None, 0
-    for key, mark, segment in sorted(found):
-        number = number + 1 if (key, mark) == last else 0
-        last = key, mark
-        out.append((key, mark, number, segment))
-    return out
+    def __init__(self, texts: list[bytes], wanted: np.ndarray, length: int, gram: int):
+        plain, hot = np.sort(wanted[wanted >= 0]), np.sort(-1 - wanted[wanted < 0])
+        found, buffers, base = [], [], 0
+        most = -(-(2 * length - gram) // gram)
+        for buffer, rows, places, begins in _groups(texts, length):
+            hashes = gram_hashes(np.frombuffer(buffer, np.uint8), gram)
+            h, start, n, item = anchors(hashes, begins, length, gram)
+            parts = []
+            if len(on := np.flatnonzero(_member(h, plain))):
+                parts.append((h[on], h[on], start[on], n[on] + length - 1, item[on]))
+            if len(on := np.flatnonzero(_member(h, hot))):
+                count = n[on]
+                at = np.repeat(start[on] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+                whole = gram_hashes(np.frombuffer(buffer, np.uint8), length)[at] >> np.uint64(1)
+                parts.append((-1 - whole.astype(np.int64), np.repeat(-1 - h[on], count), at, np.full(len(at), length), np.repeat(item[on], count)))
+            for key, mark, at, size, it in parts:
+                own = np.zeros(len(at), np.uint64)
+                for k in range(most):
+                    own = _mix(own * _u(0x9E3779B97F4A7C15) + hashes[at + np.minimum(k * gram, size - gram)])
+                own ^= size.astype(np.uint64) << np.uint64(56)
+                found.append((key, mark, own, at + base, size, rows[it], at - begins[it] + places[it]))
+            buffers.append(buffer)
+            base += len(buffer)
+        self.pool = np.frombuffer(b"".join(buffers), np.uint8)
+        key, mark, own, at, size, row, place = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 7
+        order = np.lexsort((row, own, key))
+        key, own, self.row, self.place = key[order], own[order], row[order], place[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        at_first = np.flatnonzero(new)
+        self.first = np.append(at_first, len(key))
+        self.key, self.mark, self.at, self.size = key[at_first], mark[order][at_first], at[order][at_first], size[order][at_first]
+        self.keys, begin = np.unique(self.key, return_index=True)
+        self.begin = begin
+        self.sid = np.arange(len(self.key)) - np.repeat(begin, np.diff(np.append(begin, len(self.key))))
+
+    def texts(self) -> pa.Array:
+        ends = np.cumsum(self.size)
+        flat = self.pool[np.repeat(self.at - ends + self.size, self.size) + np.arange(int(self.size.sum()))]
+        offsets = np.concatenate(([0], ends)).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+
+    def find(self, key: np.ndarray, sid: np.ndarray) -> np.ndarray:
+        return self.begin[np.searchsorted(self.keys, key)] + sid
+
+
+def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, place) of all places of the given ranges."""
+    n = end - begin
+    return np.repeat(np.arange(len(n)), n), np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
 def _send(chunks: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
     """(key, mark, t, sid, lo, hi, seg): the segments that each chunk sends, with the least and largest id of their documents."""
+    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("t", pa.int64()), ("sid", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("seg", pa.binary())])
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        names = ["key", "mark", "t", "sid", "lo", "hi", "seg"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        rows = []
-        if docs.num_rows and marks.num_rows:
-            t, ids = docs.column("t")[0].as_py(), docs.column("id").to_pylist()
-            found = _segments(docs.column("b").to_pylist(), np.unique(marks.column("h").to_numpy()), length, gram)
-            for key, mark, sid, seg in _numbered(found):
-                own = [ids[row] for row, _ in found[key, mark, seg]]
-                rows.append((key, mark, t, sid, min(own), max(own), seg))
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(names), kinds)], names=names)
+        if not docs.num_rows or not marks.num_rows:
+            return schema.empty_table()
+        found = _Segments(docs.column("b").to_pylist(), np.unique(marks.column("h").to_numpy()), length, gram)
+        if not len(found.key):
+            return schema.empty_table()
+        own = docs.column("id").to_numpy()[found.row]
+        lo, hi = np.minimum.reduceat(own, found.first[:-1]), np.maximum.reduceat(own, found.first[:-1])
+        t = np.full(len(found.key), docs.column("t")[0].as_py(), np.int64)
+        return pa.table([pa.array(found.key), pa.array(found.mark), pa.array(t), pa.array(found.sid.astype(np.int32)), pa.array(lo), pa.array(hi), found.texts()], schema=schema)
 
     return chunks.select("t", "id", "b").groupBy("t").cogroup(wanted.groupBy("t")).applyInArrow(run, "key bigint, mark bigint, t bigint, sid int, lo bigint, hi bigint, seg binary")
 
 
-def _match(segments: DataFrame, length: int, block_bytes: int) -> DataFrame:
+def _may_match(segments: list[bytes], keys: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """False for distinct segments that share no window with another one.
+
+    A window reaches at least half of what it has beside its minimizer to one side of it, so segments with a
+    common window agree in that many bytes before the minimizer, or behind it. Segments in which it stands
+    twice, or that have other keys, are not decided here.
+    """
+    half = -(-(length - gram) // 2)
+    sizes = np.fromiter(map(len, segments), np.int64, len(segments))
+    ends = np.cumsum(sizes)
+    x = np.frombuffer(b"".join(segments), np.uint8)
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    h = (gram_hashes(x, gram) & _MASK48).astype(np.int64)
+    at = np.flatnonzero((h == keys[owner[: len(h)]]) & (np.arange(len(h)) + gram <= ends[owner[: len(h)]]))
+    times = np.bincount(owner[at], minlength=len(sizes))
+    out = times != 1
+    at = at[times[owner[at]] == 1]
+    who = owner[at]
+    wide = gram_hashes(x, gram + half)
+    for place in (at - half, at):
+        fits = (place >= ends[who] - sizes[who]) & (place + gram + half <= ends[who])
+        _, back, count = np.unique(wide[place[fits]], return_inverse=True, return_counts=True)
+        out[who[fits]] |= count[back] > 1
+    return out
+
+
+def _match_block(rows: pa.Table, length: int, gram: int, block_bytes: int) -> pa.Table | None:
+    """The matches of all rows of some keys."""
+    from xxhash import xxh3_64_intdigest
+
+    key, mark, t, sid, lo, hi = (rows.column(c).to_numpy() for c in ("key", "mark", "t", "sid", "lo", "hi"))
+    segs = rows.column("seg").to_pylist()
+    own = np.fromiter(map(xxh3_64_intdigest, segs), np.uint64, len(segs))
+    order = np.lexsort((own, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
+    distinct = order[new]  # a row of each distinct segment
+    index = np.empty(len(order), np.int64)
+    index[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(lo[order], np.flatnonzero(new))
+    n_windows = np.fromiter((len(segs[k]) for k in distinct), np.int64, len(distinct)) - length + 1
+    _, back, count = np.unique(key[distinct], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(count[back] > 1)
+    run_at, run_a, run_b, run_m = [], [], [], []
+    if len(several):
+        several = several[_may_match([segs[k] for k in distinct[several]], key[distinct[several]], length, gram)]
+    plain = np.ones(len(distinct), bool)
+    plain[several] = False
+    alone = np.flatnonzero(plain)
+    run_at.append(alone)
+    run_a.append(np.zeros(len(alone), np.int64))
+    run_b.append(n_windows[alone])
+    run_m.append(least[alone])
+    # Blocks end between keys, so that what can match stands in one block.
+    sizes = np.cumsum(n_windows[several] + length)
+    same_key = np.append(key[distinct[several]][1:] == key[distinct[several]][:-1], False) if len(several) else several
+    begin = 0
+    while begin < len(several):
+        end = int(np.searchsorted(sizes, (sizes[begin - 1] if begin else 0) + block_bytes, side="right"))
+        end = max(end, begin + 1)
+        while end < len(several) and same_key[end - 1]:
+            end += 1
+        part = several[begin:end]
+        by_window = smallest_holder([segs[k] for k in distinct[part]], least[part], length)
+        flat = np.concatenate(by_window)
+        edge = np.cumsum(n_windows[part])
+        cut = np.ones(len(flat), bool)
+        cut[1:] = flat[1:] != flat[:-1]
+        cut[edge[:-1]] = True
+        a = np.flatnonzero(cut)
+        b = np.append(a[1:], len(flat))
+        who = np.searchsorted(edge, a, side="right")
+        shift = (edge - n_windows[part])[who]
+        run_at.append(part[who])
+        run_a.append(a - shift)
+        run_b.append(b - shift)
+        run_m.append(flat[a])
+        begin = end
+    at, a, b, m = (np.concatenate(c) for c in (run_at, run_a, run_b, run_m))
+    by = np.argsort(at, kind="stable")
+    at, a, b, m = at[by], a[by], b[by], m[by]
+    first = np.searchsorted(at, np.arange(len(distinct) + 1))
+    row, run = _expand(first[index], first[index + 1])
+    on = m[run] < hi[row]
+    row, run = row[on], run[on]
+    if not len(row):
+        return None
+    return pa.table([t[row], key[row], mark[row], sid[row].astype(np.int32), a[run].astype(np.int32), b[run].astype(np.int32), m[run]], names=["t", "key", "mark", "sid", "a", "b", "m"])
+
+
+#: Rows of a partition that are matched at a time, apart from what their last key adds.
+MATCH_ROWS = 40_000
+
+
+def _match(segments: DataFrame, length: int, gram: int, block_bytes: int) -> DataFrame:
     """(t, key, mark, sid, a, b, m): windows a to b of that segment start in a document of id m, the smallest."""
 
     def run(batches):
-        pending: list[tuple[list[bytes], list[int], list[tuple]]] = []
-        size = 0
-        out: list[tuple] = []
-
-        def rows():
-            done = list(zip(*out))
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(done, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()))], names=["t", "key", "mark", "sid", "a", "b", "m"])
-
-        def settle():
-            segs = [s for g in pending for s in g[0]]
-            least = smallest_holder(segs, [m for g in pending for m in g[1]], length)
-            at = 0
-            for own, _, members in pending:
-                runs = [(v[a], a, b) for v in least[at : at + len(own)] for a, b in [_runs(v)]]
-                for t, key, mark, sid, hi, k in members:
-                    for m, a, b in zip(*(x.tolist() for x in runs[k])):
-                        if m < hi:
-                            out.append((t, key, mark, sid, a, b, m))
-                at += len(own)
-            pending.clear()
-
-        index: dict[bytes, int] = {}
-        held: list[int] = []
-        members: list[tuple] = []
-        last = None
-
-        def close():
-            nonlocal size
-            if len(index) == 1:
-                n = len(next(iter(index))) - length + 1
-                out.extend((t, key, mark, sid, 0, n, held[0]) for t, key, mark, sid, hi, _ in members if held[0] < hi)
-            elif index:
-                pending.append((list(index), list(held), list(members)))
-                size += sum(map(len, index)) + len(index)
-
+        held: list[pa.RecordBatch] = []
+        n = 0
         for batch in batches:
-            for key, mark, t, sid, lo, hi, seg in zip(*(c.to_pylist() for c in batch.columns)):
-                if key != last:
-                    close()
-                    index, held, members, last = {}, [], [], key
-                    if size > block_bytes:
-                        settle()
-                        size = 0
-                    if len(out) > 50_000:
-                        yield rows()
-                k = index.setdefault(seg, len(held))
-                if k == len(held):
-                    held.append(lo)
-                elif lo < held[k]:
-                    held[k] = lo
-                members.append((t, key, mark, sid, hi, k))
-        close()
-        if pending:
-            settle()
-        if out:
-            yield rows()
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            n += batch.num_rows
+            if n >= MATCH_ROWS:
+                rows = pa.Table.from_batches(held)
+                key = rows.column("key").to_numpy()
+                cut = int(np.searchsorted(key, key[-1]))  # rows come in the order of their keys; the last key may go on
+                if cut and (out := _match_block(rows.slice(0, cut), length, gram, block_bytes)) is not None:
+                    yield from out.to_batches()
+                held = rows.slice(cut).to_batches()
+                n = rows.num_rows - cut
+        if n and (out := _match_block(pa.Table.from_batches(held), length, gram, block_bytes)) is not None:
+            yield from out.to_batches()
 
     return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "t bigint, key bigint, mark bigint, sid int, a int, b int, m bigint")
 
 
+def _spans(docs: pa.Table, marks: pa.Table, texts: list[bytes], length: int, gram: int) -> dict[int, list[int]]:
+    """The removed runs of each row of a chunk as start, end, ..."""
+    found = _Segments(texts, np.unique(marks.column("mark").to_numpy()), length, gram)
+    key, sid, a, b, m = (marks.column(c).to_numpy() for c in ("key", "sid", "a", "b", "m"))
+    at = found.find(key, sid)
+    mark, place = _expand(found.first[at], found.first[at + 1])
+    row = found.row[place]
+    on = m[mark] < docs.column("id").to_numpy()[row]
+    row, mark, place = row[on], mark[on], found.place[place[on]]
+    # Rows and places in one number each: runs of different rows never touch.
+    start, end = (row << 40) + place + a[mark], (row << 40) + place + b[mark] + length - 1
+    by = np.argsort(start)
+    start, end = start[by], np.maximum.accumulate(end[by])
+    new = np.ones(len(start), bool)
+    new[1:] = start[1:] > end[:-1]
+    start, end = start[new], end[np.append(np.flatnonzero(new)[1:], len(end)) - 1] if len(end) else end
+    out: dict[int, list[int]] = {}
+    for x, y in zip(start.tolist(), end.tolist()):
+        out.setdefault(x >> 40, []).extend((x & (1 << 40) - 1, y & (1 << 40) - 1))
+    return out
+
+
 def _remove(chunks: DataFrame, found: DataFrame, kind: str, length: int, gram: int) -> DataFrame:
     """(k, n_bytes, n_removed, spans, kept) for every document: spans are the removed runs, flattened to (start, end, ...)."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
-        texts, ids = docs.column("b").to_pylist(), docs.column("id").to_pylist()
-        gone: dict[int, list[tuple[int, int]]] = {}
-        if marks.num_rows:
-            places = _segments(texts, np.unique(marks.column("mark").to_numpy()), length, gram)
-            number = {(key, mark, sid): places[key, mark, seg] for key, mark, sid, seg in _numbered(places)}
-            for key, mark, sid, a, b, m in zip(*(marks.column(c).to_pylist() for c in ("key", "mark", "sid", "a", "b", "m"))):
-                for row, start in number[key, mark, sid]:
-                    if m < ids[row]:
-                        gone.setdefault(row, []).append((start + a, start + b + length - 1))
+        texts = docs.column("b").to_pylist()
+        gone = _spans(docs, marks, texts, length, gram) if docs.num_rows and marks.num_rows else {}
         n_removed, spans, kept = [], [], []
         for row, t in enumerate(texts):
-            runs: list[int] = []
-            for a, b in sorted(gone.get(row, ())):
-                if runs and a <= runs[-1]:
-                    runs[-1] = max(runs[-1], b)
-                else:
-                    runs += (a, b)
-            edges = [0, *runs, len(t)]
-            left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            runs = gone.get(row, [])
+            if runs:
+                edges = [0, *runs, len(t)]
+                left = b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2]))
+            else:
+                left = t
             n_removed.append(len(t) - len(left))
             spans.append(runs)
             kept.append(left)
@@ -448,7 +542,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         raise ValueError("gram must be positive and at most length")
     chunks = _chunks(docs, key, text, chunk_bytes)
     sent = _send(chunks, _wanted(_minimizers(chunks, length, gram), hot), length, gram)
-    return _remove(chunks, _match(sent, length, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)
+    return _remove(chunks, _match(sent, length, gram, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)
 
 
 def op3_interval_expansion(spark, sf_dir: str) -> DataFrame:
