@@ -17,8 +17,10 @@ fixes that common prefix as k - 1. Values come in increasing order, and the expa
 two fixed places are those that share MIN_LENGTH bytes or more. The smallest key of such a group removes
 its string from the documents with larger keys.
 
-Memory: a chunk, a block of segments or one minimizer's rows (at most HOT places) is held at a time.
-Documents are written once, in buckets by chunk, and read there twice; their texts are never shuffled.
+Memory: a chunk, or what one of the parts that minimizers are dealt to receives, is held at a time; a part
+gets about as much as BUCKET_BYTES of text send, and no minimizer has more than HOT places in it. What chunks and parts
+exchange are compressed columns. Documents are written once, in buckets by chunk, and read there three
+times; their texts are never shuffled.
 
 Defined results: null and empty texts have no bytes; repeated rows and different rows with one key remove
 nothing from each other; a null key counts as larger than every other, and such rows remove nothing from each
@@ -42,6 +44,8 @@ MIN_LENGTH = 50
 ANCHOR = 24
 CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
+#: Text for each part that minimizers are dealt to; what a part receives is of the same order.
+BUCKET_BYTES = 4 << 20
 #: Places of a minimizer above which its windows are dealt out one by one.
 HOT = 10_000
 _NONE = (1 << 63) - 1
@@ -215,8 +219,11 @@ def smallest_holder(segments: list[bytes], holders: list[int], length: int = MIN
     return [by_place[a : a + n - length + 1] for a, n in zip(begins.tolist(), sizes.tolist())]
 
 
-def _chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame:
-    """The documents as (t, row, key, id, b): chunk, place in it, key as given and as a number, bytes; in buckets by chunk."""
+def _chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """The documents as (t, row, k, id, b): chunk, place in it, key as given and as a number, bytes; in buckets by chunk.
+
+    Also the number of parts that minimizers are dealt to: one for BUCKET_BYTES of text.
+    """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
@@ -243,11 +250,59 @@ def _chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> DataFrame
     out = spark.table(name)
     out.schema  # analysed while the name exists; the files stay
     spark.sql(f"DROP TABLE {name}")
-    return out
+    return out, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+
+
+_COLUMNS = {"h": "<i8", "n": "<u2", "key": "<i8", "mark": "<i8", "sid": "<i4", "lo": "<i8", "hi": "<i8", "a": "<i4", "b": "<i4", "m": "<i8"}
+
+
+def _packed(segments: pa.Array | None = None, **columns: np.ndarray) -> bytes:
+    """Columns of one length (and segments behind them), compressed: what goes from chunks to parts and back.
+
+    Without names or types, so that a blob of a single row is small as well.
+    """
+    import zstandard
+
+    raw = [v.astype(_COLUMNS[k]).tobytes() for k, v in columns.items()]
+    if segments is not None:
+        raw += [pc.binary_length(segments).to_numpy().astype("<u2").tobytes(), b"".join(segments.to_pylist())]
+    return zstandard.compress(len(next(iter(columns.values()))).to_bytes(4, "little") + b"".join(raw), 3)
+
+
+def _unpacked(blob: bytes, *names: str) -> pa.Table:
+    """The columns ``names`` of a blob, which are all but the segments; these are called seg."""
+    import zstandard
+
+    raw = zstandard.decompress(blob)
+    n, at, out = int.from_bytes(raw[:4], "little"), 4, {}
+    for name in names:
+        if name == "seg":
+            ends = np.cumsum(np.frombuffer(raw, "<u2", n, at), dtype=np.int32)
+            out[name] = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(np.int32(0), ends).astype(np.int32)), pa.py_buffer(raw[at + 2 * n :])])
+        else:
+            column = np.frombuffer(raw, _COLUMNS[name], n, at)
+            at += column.nbytes
+            out[name] = pa.array(column)
+    return pa.table(out)
+
+
+def _dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, parts that occur, where each begins and the last ends) that deals ``key`` to ``parts``; minimizers are small, so they are mixed first."""
+    part = (_mix(key.astype(np.uint64) + _u(0x2545F4914F6CDD1D)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    found, begin = np.unique(part[order], return_index=True)
+    return order, found, np.append(begin, len(key))
 
 
-def _minimizers(chunks: DataFrame, length: int, gram: int) -> DataFrame:
-    """(h, t, n): the distinct minimizers of each chunk and the number of their places, at most 65535 a row."""
+_DEALT = "part bigint, t bigint, blob binary"
+
+
+def _batch(part: np.ndarray, t: np.ndarray, blobs: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(t, pa.int64()), pa.array(blobs, pa.binary())], names=["part", "t", "blob"])
+
+
+def _minimizers(chunks: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
+    """(part, t, blob): for each chunk and part the distinct minimizers h of the chunk, rising, and the number n of their places."""
 
     def run(batches):
         at, hs, texts, size, n_hs = None, [], [], 0, 0
@@ -260,7 +315,9 @@ def _minimizers(chunks: DataFrame, length: int, gram: int) -> DataFrame:
         def flush():
             h, n = np.unique(np.concatenate(hs), return_counts=True)
             hs.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.full(len(h), at, np.int64) << 16 | np.minimum(n, 65535))], names=["h", "tn"])
+            order, found, begin = _dealt(h, parts)
+            h, n = h[order], np.minimum(n[order], 65535).astype(np.uint16)
+            return _batch(found, np.full(len(found), at), [_packed(h=h[a:b], n=n[a:b]) for a, b in zip(begin, begin[1:])])
 
         for batch in batches:
             for t, b in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -277,16 +334,45 @@ def _minimizers(chunks: DataFrame, length: int, gram: int) -> DataFrame:
         if take():
             yield flush()
 
-    return chunks.select("t", "b").mapInArrow(run, "h bigint, tn bigint").select("h", F.shiftright("tn", 16).alias("t"), F.col("tn").bitwiseAND(F.lit(65535)).alias("n"))
+    return chunks.select("t", "b").mapInArrow(run, _DEALT)
+
+
+def _by_part(dealt: DataFrame, names: tuple[str, ...], work, schema: str) -> DataFrame:
+    """``work(t, tables)`` for all blobs of each part; it yields batches. A part is held at a time."""
+
+    def run(batches):
+        at, ts, blobs = None, [], []
+        for batch in batches:
+            for part, t, blob in zip(*(c.to_pylist() for c in batch.columns)):
+                if part != at and ts:
+                    yield from work(np.array(ts), [_unpacked(b, *names) for b in blobs])
+                    ts, blobs = [], []
+                at = part
+                ts.append(t)
+                blobs.append(blob)
+        if ts:
+            yield from work(np.array(ts), [_unpacked(b, *names) for b in blobs])
+
+    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def _wanted(minimizers: DataFrame, hot: int) -> DataFrame:
-    """(t, h): minimizers with two places or more, for each chunk that holds them; h is negative if it is split by windows."""
-    from pyspark.sql import Window
+    """(t, blob): minimizers h with two places or more, for the chunks that hold them; h is negative if it is split by windows."""
+
+    def work(ts, tables):
+        sizes = np.array([x.num_rows for x in tables])
+        h = np.concatenate([x.column("h").to_numpy() for x in tables])
+        n = np.concatenate([x.column("n").to_numpy() for x in tables]).astype(np.int64)
+        _, back = np.unique(h, return_inverse=True)
+        total = np.bincount(back, n).astype(np.int64)[back]
+        h = np.where(total > hot, -1 - h, h)
+        ends = np.cumsum(sizes)
+        kept = [(t, h[a:b][total[a:b] > 1]) for t, a, b in zip(ts.tolist(), ends - sizes, ends)]
+        kept = [x for x in kept if len(x[1])]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.int64()), pa.array([_packed(h=x) for _, x in kept], pa.binary())], names=["t", "blob"])
 
-    total = F.sum("n").over(Window.partitionBy("h"))
-    found = minimizers.select("t", "h", total.alias("total")).where("total > 1")
-    return found.select("t", F.when(F.col("total") > hot, -1 - F.col("h")).otherwise(F.col("h")).alias("h"))
+    return _by_part(minimizers, ("h", "n"), work, "t bigint, blob binary")
 
 
 def _member(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -355,22 +441,30 @@ def _expand(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(np.arange(len(n)), n), np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
 
 
-def _send(chunks: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, mark, t, sid, lo, hi, seg): the segments that each chunk sends, with the least and largest id of their documents."""
-    schema = pa.schema([("key", pa.int64()), ("mark", pa.int64()), ("t", pa.int64()), ("sid", pa.int32()), ("lo", pa.int64()), ("hi", pa.int64()), ("seg", pa.binary())])
+def _send(chunks: DataFrame, wanted: DataFrame, length: int, gram: int, parts: int) -> DataFrame:
+    """(part, t, blob): the segments that a chunk sends to each part, with the least and largest id of their documents."""
+    names, kinds = ["part", "t", "blob"], [pa.int64(), pa.int64(), pa.binary()]
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        nothing = pa.table([pa.array([], k) for k in kinds], names=names)
         if not docs.num_rows or not marks.num_rows:
-            return schema.empty_table()
-        found = _Segments(docs.column("b").to_pylist(), np.unique(marks.column("h").to_numpy()), length, gram)
+            return nothing
+        h = np.concatenate([x.column("h").to_numpy() for x in (_unpacked(b, "h") for b in marks.column("blob").to_pylist())])
+        found = _Segments(docs.column("b").to_pylist(), np.unique(h), length, gram)
         if not len(found.key):
-            return schema.empty_table()
+            return nothing
         own = docs.column("id").to_numpy()[found.row]
         lo, hi = np.minimum.reduceat(own, found.first[:-1]), np.maximum.reduceat(own, found.first[:-1])
-        t = np.full(len(found.key), docs.column("t")[0].as_py(), np.int64)
-        return pa.table([pa.array(found.key), pa.array(found.mark), pa.array(t), pa.array(found.sid.astype(np.int32)), pa.array(lo), pa.array(hi), found.texts()], schema=schema)
+        order, part, begin = _dealt(found.key, parts)
+        texts, sid = found.texts(), found.sid.astype(np.int32)
+        t = docs.column("t")[0].as_py()
+        blobs = []
+        for a, b in zip(begin, begin[1:]):
+            at = order[a:b]
+            blobs.append(_packed(texts.take(pa.array(at)), key=found.key[at], mark=found.mark[at], sid=sid[at], lo=lo[at], hi=hi[at]))
+        return pa.Table.from_batches([_batch(part, np.full(len(part), t), blobs)])
 
-    return chunks.select("t", "id", "b").groupBy("t").cogroup(wanted.groupBy("t")).applyInArrow(run, "key bigint, mark bigint, t bigint, sid int, lo bigint, hi bigint, seg binary")
+    return chunks.select("t", "id", "b").groupBy("t").cogroup(wanted.groupBy("t")).applyInArrow(run, _DEALT)
 
 
 def _may_match(segments: list[bytes], keys: np.ndarray, length: int, gram: int) -> np.ndarray:
@@ -463,33 +557,34 @@ def _match_block(rows: pa.Table, length: int, gram: int, block_bytes: int) -> pa
     return pa.table([t[row], key[row], mark[row], sid[row].astype(np.int32), a[run].astype(np.int32), b[run].astype(np.int32), m[run]], names=["t", "key", "mark", "sid", "a", "b", "m"])
 
 
-#: Rows of a partition that are matched at a time, apart from what their last key adds.
+#: Rows that are matched at a time, apart from what their last key adds.
 MATCH_ROWS = 40_000
 
 
 def _match(segments: DataFrame, length: int, gram: int, block_bytes: int) -> DataFrame:
-    """(t, key, mark, sid, a, b, m): windows a to b of that segment start in a document of id m, the smallest."""
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            if not batch.num_rows:
+    """(t, blob): windows a to b of the segment (key, mark, sid) start in a document of id m, the smallest."""
+
+    def work(ts, tables):
+        rows = pa.concat_tables([x.append_column("t", pa.array(np.full(x.num_rows, t, np.int64))) for t, x in zip(ts.tolist(), tables)])
+        key = rows.column("key").to_numpy()
+        order = np.argsort(key, kind="stable")
+        sorted_key, begin = key[order], 0
+        while begin < len(order):
+            end = min(begin + MATCH_ROWS, len(order))
+            end = int(np.searchsorted(sorted_key, sorted_key[end - 1], side="right"))
+            found = _match_block(rows.take(pa.array(order[begin:end])), length, gram, block_bytes)
+            begin = end
+            if found is None:
                 continue
-            held.append(batch)
-            n += batch.num_rows
-            if n >= MATCH_ROWS:
-                rows = pa.Table.from_batches(held)
-                key = rows.column("key").to_numpy()
-                cut = int(np.searchsorted(key, key[-1]))  # rows come in the order of their keys; the last key may go on
-                if cut and (out := _match_block(rows.slice(0, cut), length, gram, block_bytes)) is not None:
-                    yield from out.to_batches()
-                held = rows.slice(cut).to_batches()
-                n = rows.num_rows - cut
-        if n and (out := _match_block(pa.Table.from_batches(held), length, gram, block_bytes)) is not None:
-            yield from out.to_batches()
-
-    return segments.repartition("key").sortWithinPartitions("key").mapInArrow(run, "t bigint, key bigint, mark bigint, sid int, a int, b int, m bigint")
+            t = found.column("t").to_numpy()
+            by = np.argsort(t, kind="stable")
+            who, edge = np.unique(t[by], return_index=True)
+            found, edge = found.drop_columns(["t"]).take(pa.array(by)), np.append(edge, len(by))
+            columns = {c: found.column(c).to_numpy() for c in found.column_names}
+            blobs = [_packed(**{c: v[x:y] for c, v in columns.items()}) for x, y in zip(edge, edge[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], names=["t", "blob"])
+
+    return _by_part(segments, ("key", "mark", "sid", "lo", "hi", "seg"), work, "t bigint, blob binary")
 
 
 def _spans(docs: pa.Table, marks: pa.Table, texts: list[bytes], length: int, gram: int) -> dict[int, list[int]]:
@@ -519,7 +614,7 @@ def _remove(chunks: DataFrame, found: DataFrame, kind: str, length: int, gram: i
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
         texts = docs.column("b").to_pylist()
-        gone = _spans(docs, marks, texts, length, gram) if docs.num_rows and marks.num_rows else {}
+        gone = _spans(docs, pa.concat_tables([_unpacked(b, "key", "mark", "sid", "a", "b", "m") for b in marks.column("blob").to_pylist()]), texts, length, gram) if docs.num_rows and marks.num_rows else {}
         n_removed, spans, kept = [], [], []
         for row, t in enumerate(texts):
             runs = gone.get(row, [])
@@ -540,8 +635,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """One row a document: key, n_bytes, n_removed, spans (removed runs of bytes as start, end, ...), kept (the bytes that stay)."""
     if not 0 < gram <= length:
         raise ValueError("gram must be positive and at most length")
-    chunks = _chunks(docs, key, text, chunk_bytes)
-    sent = _send(chunks, _wanted(_minimizers(chunks, length, gram), hot), length, gram)
+    chunks, parts = _chunks(docs, key, text, chunk_bytes)
+    sent = _send(chunks, _wanted(_minimizers(chunks, length, gram, parts), hot), length, gram, parts)
     return _remove(chunks, _match(sent, length, gram, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)
 
 
