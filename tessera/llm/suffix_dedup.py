@@ -58,27 +58,26 @@ def _u(x: int) -> np.uint64:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
-    x = x * _u(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x *= _u(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x
 
 
 def gram_hashes(b: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of every substring of ``width`` bytes, by doubling."""
-    if len(b) < width:
+    """A 64-bit hash of every substring of ``width`` bytes, from the words of eight bytes that cover it."""
+    n = len(b) - width + 1
+    if n <= 0:
         return np.zeros(0, np.uint64)
-    power, have = _mix(b.astype(np.uint64) + _u(0x9E3779B97F4A7C15)), 1
-    out, done = None, 0
-    while True:
-        if width & have:
-            if out is None:
-                out, done = power, have
-            else:
-                n = min(len(out), len(power) - done)
-                out, done = _mix(out[:n] * _u(0x9E3779B97F4A7C15) + power[done : done + n]), done + have
-        if done == width:
-            return out[: len(b) - width + 1]
-        n = len(power) - have
-        power, have = _mix(power[:n] * _u(0xBF58476D1CE4E5B9) + power[have : have + n]), 2 * have
+    if width < 8:
+        words, at = b, range(width)
+    else:
+        words, at = np.ndarray(len(b) - 7, "<u8", b, 0, (1,)), sorted({*range(0, width - 7, 8), width - 8})
+    out = np.full(n, _u(0xBF58476D1CE4E5B9))
+    for k in at:
+        out *= _u(0x9E3779B97F4A7C15)
+        out += words[k : k + n]
+        out = _mix(out)
+    return out
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -266,7 +265,7 @@ def _packed(segments: pa.Array | None = None, **columns: np.ndarray) -> bytes:
     raw = [v.astype(_COLUMNS[k]).tobytes() for k, v in columns.items()]
     if segments is not None:
         raw += [pc.binary_length(segments).to_numpy().astype("<u2").tobytes(), b"".join(segments.to_pylist())]
-    return zstandard.compress(len(next(iter(columns.values()))).to_bytes(4, "little") + b"".join(raw), 3)
+    return zstandard.compress(len(next(iter(columns.values()))).to_bytes(4, "little") + b"".join(raw), 1)
 
 
 def _unpacked(blob: bytes, *names: str) -> pa.Table:
@@ -414,7 +413,7 @@ class _Segments:
             base += len(buffer)
         self.pool = np.frombuffer(b"".join(buffers), np.uint8)
         key, mark, own, at, size, row, place = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 7
-        order = np.lexsort((row, own, key))
+        order = np.lexsort((own, key))
         key, own, self.row, self.place = key[order], own[order], row[order], place[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
