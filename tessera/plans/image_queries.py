@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import image as im
+from ..session import spread
 from .fixtures import GRIDS_DUCK, GRIDS_SPARK, fixture
 
 
 def _grids(spark, sf_dir):
-    return fixture(spark, sf_dir, GRIDS_SPARK)
+    return spread(fixture(spark, sf_dir, GRIDS_SPARK))
 
 
 def _flat(df, digits=8):

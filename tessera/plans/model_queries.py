@@ -12,7 +12,7 @@ from ..operators import models as md
 from ..operators import tabular as tab
 from ..operators import temporal as ts
 from ..operators import text as tx
-from ..session import scratch_dir
+from ..session import scratch_dir, spread, table
 from ..sources import io
 from .fixtures import CLINICAL, SCORES, fixture
 from .text_queries import _MVOC, _M, _TC
@@ -55,7 +55,7 @@ def quantized(spark, sf_dir):
 
 def softmax_score(spark, sf_dir):
     """Documents scored with the fixed weights (id % 7 - 3) / 2 and (id % 5 - 2) / 2."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = tx.model_tokenize(F.col("text"))
     vocab = tx.model_vocabulary(docs, "doc_id", words, 200)
     weights = spark.range(200).select(F.col("id").cast("int").alias("id"), ((F.col("id") % 7 - 3) / 2).alias("w0"), ((F.col("id") % 5 - 2) / 2).alias("w1"))

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..operators import text as tx
+from ..session import spread, table
 from .fixtures import NOTES_SQL, notes
 
 
 def _docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _per_doc(make):

@@ -40,3 +40,12 @@ def scratch_dir(spark: SparkSession) -> str:
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_OWN[0]}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than there are: small files before heavy expressions.
+
+    On a large table the scan has splits enough and nothing is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
