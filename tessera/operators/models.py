@@ -112,7 +112,9 @@ class TextClassifier:
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         bias = meta.pop("bias")
         out = cls(**meta)
-        out.bias, out.vocab = tuple(bias), spark.read.parquet(f"{path}/vocab")
+        vocab = spark.read.parquet(f"{path}/vocab")
+        # At most max_features rows, held apart from their files so that a model can be saved over itself.
+        out.bias, out.vocab = tuple(bias), spark.createDataFrame(vocab.collect(), vocab.schema)
         rows = spark.read.parquet(f"{path}/weights").orderBy("id").collect()  # at most max_features rows
         out.weights = np.array([[r["w0"], r["w1"]] for r in rows])
         return out
