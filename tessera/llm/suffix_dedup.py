@@ -470,8 +470,9 @@ def _may_match(segments: list[bytes], keys: np.ndarray, length: int, gram: int)
     """False for distinct segments that share no window with another one.
 
     A window reaches at least half of what it has beside its minimizer to one side of it, so segments with a
-    common window agree in that many bytes before the minimizer, or behind it. Segments in which it stands
-    twice, or that have other keys, are not decided here.
+    common window agree in that many bytes before the minimizer, or behind it. Every place of the minimizer
+    counts, those in segments that have it several times included. These segments, and those of other keys,
+    are not decided here.
     """
     half = -(-(length - gram) // 2)
     sizes = np.fromiter(map(len, segments), np.int64, len(segments))
@@ -482,7 +483,6 @@ def _may_match(segments: list[bytes], keys: np.ndarray, length: int, gram: int)
     at = np.flatnonzero((h == keys[owner[: len(h)]]) & (np.arange(len(h)) + gram <= ends[owner[: len(h)]]))
     times = np.bincount(owner[at], minlength=len(sizes))
     out = times != 1
-    at = at[times[owner[at]] == 1]
     who = owner[at]
     wide = gram_hashes(x, gram + half)
     for place in (at - half, at):

@@ -104,3 +104,14 @@ def test_query_columns(spark):
     assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     row = out.where("n_removed = n_bytes AND n_bytes > 0").first()
     assert row is None or row["kept_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_minimizer_once_and_several_times(spark):
+    """A segment that has its minimizer once shares windows with one that has it several times."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(150):
+        text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))  # noqa: B023, E731
+        head, unit = text(26), text(rng.choice([1, 2, 5]))
+        rows += [(2 * k, head + (unit * 30)[:26] + text(60)), (2 * k + 1, head + (unit * 60)[: rng.randrange(30, 60)] + text(60))]
+    compare(spark, rows, "doc_id long, text string")
