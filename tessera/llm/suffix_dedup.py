@@ -112,7 +112,8 @@ def _groups(texts: list[bytes], length: int, part: int = 1 << 20) -> Iterator[tu
 def anchors(hashes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(minimizer as 48 bits, first window, windows, item) of the runs of windows, inside one item of a buffer, that have one minimizer.
 
-    ``hashes`` are those of the buffer's grams, ``begins`` the places where its items begin, and its end.
+    ``hashes`` are those of the buffer's grams, ``begins`` the places where its items begin, and its end. A run
+    ends after as many windows as one place of a minimizer can serve; on periodic text further runs follow it.
     """
     low = _sliding_min(hashes, length - gram + 1)
     item = np.repeat(np.arange(len(begins) - 1), np.diff(begins))[: len(low)]
@@ -120,6 +121,12 @@ def anchors(hashes: np.ndarray, begins: np.ndarray, length: int, gram: int) -> t
     new = np.concatenate(([True], (low[1:] != low[:-1]) | (item[1:] != item[:-1])))
     start = np.flatnonzero(new & (np.arange(len(low)) < beyond))
     stop = np.minimum(np.append(start[1:], len(low)), beyond[start])
+    most = length - gram + 1
+    if len(start) and (stop - start).max() > most:
+        pieces = -(-(stop - start) // most)
+        stop, piece = np.repeat(stop, pieces), np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        start = np.repeat(start, pieces) + piece * most
+        stop = np.minimum(stop, start + most)
     return (low[start] & _MASK48).astype(np.int64), start, stop - start, item[start]
 
 
@@ -391,7 +398,7 @@ class _Segments:
     def __init__(self, texts: list[bytes], wanted: np.ndarray, length: int, gram: int):
         plain, hot = np.sort(wanted[wanted >= 0]), np.sort(-1 - wanted[wanted < 0])
         found, buffers, base = [], [], 0
-        most = -(-(2 * length - gram) // gram)
+        most = -(-(2 * length - gram) // gram)  # grams side by side that cover the longest segment
         for buffer, rows, places, begins in _groups(texts, length):
             hashes = gram_hashes(np.frombuffer(buffer, np.uint8), gram)
             h, start, n, item = anchors(hashes, begins, length, gram)
@@ -407,7 +414,7 @@ class _Segments:
                 own = np.zeros(len(at), np.uint64)
                 for k in range(most):
                     own = _mix(own * _u(0x9E3779B97F4A7C15) + hashes[at + np.minimum(k * gram, size - gram)])
-                own ^= size.astype(np.uint64) << np.uint64(56)
+                own = _mix(own * _u(0x9E3779B97F4A7C15) + size.astype(np.uint64))
                 found.append((key, mark, own, at + base, size, rows[it], at - begins[it] + places[it]))
             buffers.append(buffer)
             base += len(buffer)

@@ -115,3 +115,20 @@ def test_minimizer_once_and_several_times(spark):
         head, unit = text(26), text(rng.choice([1, 2, 5]))
         rows += [(2 * k, head + (unit * 30)[:26] + text(60)), (2 * k + 1, head + (unit * 60)[: rng.randrange(30, 60)] + text(60))]
     compare(spark, rows, "doc_id long, text string")
+
+
+def test_tails_behind_periodic_text(spark):
+    """Segments that agree in their first bytes and in their size are not the same segment."""
+    import numpy as np
+
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    rows = []
+    for k in range(60):
+        head, unit = text(30), text(rng.choice([1, 3, 7]))
+        rows += [(2 * k + j, head + (unit * 140)[:140] + text(60)) for j in (0, 1)]
+    compare(spark, rows, "doc_id long, text string")
+    for _, t in rows:
+        b = np.frombuffer(t.encode(), np.uint8)
+        h, start, n, item = sd.anchors(sd.gram_hashes(b, sd.ANCHOR), np.array([0, len(b)]), sd.MIN_LENGTH, sd.ANCHOR)
+        assert n.max() <= sd.MIN_LENGTH - sd.ANCHOR + 1 and start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and (start + n)[-1] == len(b) - sd.MIN_LENGTH + 1
