@@ -265,7 +265,7 @@ _COLUMNS = {"h": "<i8", "n": "<u2", "key": "<i8", "mark": "<i8", "sid": "<i4", "
 def _packed(segments: pa.Array | None = None, **columns: np.ndarray) -> bytes:
     """Columns of one length (and segments behind them), compressed: what goes from chunks to parts and back.
 
-    Without names or types, so that a blob of a single row is small as well.
+    The lengths of segments fit in 16 bits, as anchors() ends runs and dedup() checks the bound. Without names or types, so that a blob of a single row is small as well.
     """
     import zstandard
 
@@ -641,6 +641,8 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     """One row a document: key, n_bytes, n_removed, spans (removed runs of bytes as start, end, ...), kept (the bytes that stay)."""
     if not 0 < gram <= length:
         raise ValueError("gram must be positive and at most length")
+    if 2 * length - gram > 65535:
+        raise ValueError("segments have 2 * length - gram bytes, 65,535 at most")
     chunks, parts = _chunks(docs, key, text, chunk_bytes)
     sent = _send(chunks, _wanted(_minimizers(chunks, length, gram, parts), hot), length, gram, parts)
     return _remove(chunks, _match(sent, length, gram, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)

@@ -132,3 +132,15 @@ def test_tails_behind_periodic_text(spark):
         b = np.frombuffer(t.encode(), np.uint8)
         h, start, n, item = sd.anchors(sd.gram_hashes(b, sd.ANCHOR), np.array([0, len(b)]), sd.MIN_LENGTH, sd.ANCHOR)
         assert n.max() <= sd.MIN_LENGTH - sd.ANCHOR + 1 and start[0] == 0 and (start[1:] == (start + n)[:-1]).all() and (start + n)[-1] == len(b) - sd.MIN_LENGTH + 1
+
+
+def test_long_periodic_text(spark):
+    """Runs of one minimizer longer than 16 bits can count, among unrelated repeats in the same parts."""
+    rng = random.Random(13)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    shared = [text(200) for _ in range(40)]
+    rows = [(i, text(20) + s) for i, s in enumerate(shared * 2)]
+    rows += [(100, text(30) + "spam " * 20_000 + text(30)), (101, text(40) + "spam " * 20_000 + text(40)), (102, "-" * 100_000), (103, text(5) + "-" * 100_000)]
+    compare(spark, rows, "doc_id long, text string")
+    with pytest.raises(ValueError):
+        sd.dedup(spark.createDataFrame(rows[:1], "doc_id long, text string"), length=40_000)
