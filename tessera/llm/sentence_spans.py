@@ -2,8 +2,8 @@
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends); a
 sentence is compared by its lower-cased words without outer punctuation, so layout and case do not matter.
-From every sentence runs one span: SPAN_SENTENCES consecutive sentences, or fewer if they have SPAN_WORDS
-words by then. Spans are joined over the whole corpus by a 128-bit hash; of the places of a repeated span the
+From every sentence runs one span: SPAN_SENTENCES consecutive sentences, fewer if they have SPAN_WORDS words
+by then, and more, from a sentence with words, until they have SPAN_LEAST. Spans are joined over the whole corpus by a 128-bit hash; of the places of a repeated span the
 first, by (doc_id, text hash, place), stays, and every sentence covered by any other place is removed.
 
 Only hashes are shuffled. The join starts from one row a repeated span (counts are combined before the
@@ -56,10 +56,11 @@ def spans(t: str, cuts: list[tuple[int, int]], most: int = SPAN_SENTENCES, words
     out = []
     for i in range(len(norm)):
         n = k = 0
-        while i + k < len(norm) and k < most and n < words:
+        # Sentences of punctuation alone start no longer spans: thousands of them in a row would each run through all others.
+        while i + k < len(norm) and n < words and (k < most or n < least and norm[i][0]):
             n += norm[i + k][0]
             k += 1
-        if (k == most or n >= words) and n >= least:
+        if (k >= most or n >= words) and n >= least:
             out.append((i, k, xxh3_128_digest(b"\n".join(x for _, x in norm[i : i + k]))))
     return out
 

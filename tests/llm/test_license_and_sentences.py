@@ -86,3 +86,15 @@ def test_sentences_keep_rows_and_ids(docs, rows):
 
 def test_sentences_empty(empty):
     assert ss.dedup(empty).collect() == []
+
+
+def test_spans_of_short_sentences(spark):
+    """Runs of sentences of one to three words are compared as well; lines without words stay cheap."""
+    short = "\n".join(f"Item {k}." if k % 3 else f"Stop{k}!" for k in range(60))
+    rows = [(1, short), (2, "Other words stand before this list of things here.\n" + short), (3, short), (4, "Yes. No. Maybe."), (5, "Yes. No. Maybe."), (6, "...\n" * 50_000 + "One. Two."), (7, "A b. " * 3 + "...\n" * 50_000)]
+    got = {r["doc_id"]: r for r in ss.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["n_removed"] == 0 and got[3]["n_removed"] == 60 and got[3]["kept_text"] == ""
+    assert got[2]["kept_text"] == "Other words stand before this list of things here.\n"
+    assert all(got[k]["n_removed"] == 0 for k in (4, 5, 6, 7))
+    gone = brute_spans(rows[:5])
+    assert all(len(gone.get((True, i, t), ())) == got[i]["n_removed"] for i, t in rows[:5])
