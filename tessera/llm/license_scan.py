@@ -5,7 +5,8 @@ compared as a whole, by paragraph, by line and by sentence, each a segment; the
 template is 2 * |A n B| / (|A| + |B|) over bigrams with repeats. As the common part is at most the smaller side,
 a score of t needs |A| between |B| * t / (2 - t) and |B| * (2 - t) / t: templates outside these size bounds
 are pruned, and of the others only those that share a bigram with the segment are compared. A segment that
-holds more than a licence is also searched by windows of each template's own length around shared bigrams.
+holds more than a licence is also searched by windows of each template's own length around shared bigrams. The
+best licence of a segment is cut out where it stands, and what is left before, between and behind is searched again.
 
 Defined results: null and empty texts match nothing; equal scores go to the template that comes first by
 name; repeated rows are scanned one by one; an empty table gives an empty result; further columns are
@@ -86,7 +87,11 @@ class Templates:
 
     def _window(self, grams: list[tuple[str, str]], places: list[int], k: int) -> float:
         """Best score of the windows of the template's length that begin at a shared bigram."""
-        n, own, best = self.sizes[k], self.bags[k], 0.0
+        return max(self._windows(grams, places, k))
+
+    def _windows(self, grams: list[tuple[str, str]], places: list[int], k: int) -> list[float]:
+        """The score of each window of the template's length that begins at one of ``places``, the shared bigrams."""
+        n, own, out = self.sizes[k], self.bags[k], []
         bag: Counter = Counter()
         common = hi = 0
         for lo, start in enumerate(places):  # two pointers over the shared places
@@ -95,15 +100,62 @@ class Templates:
                 bag[g] += 1
                 common += bag[g] <= own[g]
                 hi += 1
-            best = max(best, 2 * common / (min(n, len(grams) - start) + n))
+            out.append(2 * common / (min(n, len(grams) - start) + n))
             g = grams[start]
             common -= bag[g] <= own[g]
             bag[g] -= 1
-        return best
+        return out
+
+    def stands(self, grams: list[tuple[str, str]], shared: list[int], names: set[str], name: str) -> list[tuple[int, int]]:
+        """Where the licence ``name`` of the ``names`` that ``best`` has found stands: disjoint ranges of bigrams, rising.
+
+        These are its windows from the threshold up where no other of the ``names`` scores higher, each to the end that
+        scores highest, so that common words of a text behind it are left to that. If there is none, it is the range from
+        the first to the last shared bigram.
+        """
+        found = []
+        for k in (k for k, own in enumerate(self.names) if own in names):
+            if len(places := [i for i in shared if k in self.holders[grams[i]]]) >= self.sizes[k] * self.threshold / 2:
+                found += [(-s, places[j], k, j, places) for j, s in enumerate(self._windows(grams, places, k)) if s >= self.threshold - 1e-12]
+        taken, out = bytearray(len(grams)), []
+        for _, start, k, j, places in sorted(found, key=lambda x: x[:3]):
+            limit = min(start + self.sizes[k], len(grams))
+            if taken[start] or taken[limit - 1] or 1 in taken[start:limit]:
+                continue
+            bag: Counter = Counter()
+            common, top, end = 0, 0.0, start + 1
+            while j < len(places) and places[j] < limit:
+                g = grams[places[j]]
+                bag[g] += 1
+                common += bag[g] <= self.bags[k][g]
+                if (s := 2 * common / (places[j] + 1 - start + self.sizes[k])) >= top:
+                    top, end = s, places[j] + 1
+                j += 1
+            taken[start:end] = b"\1" * (end - start)
+            if self.names[k] == name:
+                out.append((start, end))
+        return sorted(out) or [(shared[0], shared[-1] + 1)]
+
+    def all(self, grams: list[tuple[str, str]]) -> dict[str, float]:
+        """The best score of each licence of one segment that is left when the better-scored ones are cut out."""
+        out: dict[str, float] = {}
+        todo = [(0, len(grams), frozenset())]
+        while todo:
+            lo, hi, before = todo.pop()
+            part = grams[lo:hi]
+            shared = [i for i, g in enumerate(part) if g in self.holders]
+            # A licence that was cut out is not looked for again, so there are at most as many levels as licences.
+            scores = {n: s for n, s in self.best(part, shared).items() if n not in before}
+            if scores:
+                name, s = min(scores.items(), key=lambda x: (-x[1], x[0]))
+                out[name] = max(s, out.get(name, 0.0))
+                edges = [0, *(x for ab in self.stands(part, shared, set(scores), name) for x in ab), hi - lo]
+                todo += [(lo + a, lo + b, before | {name}) for a, b in zip(edges[::2], edges[1::2]) if a < b]
+        return out
 
 
 def scan_text(text: str, templates: Templates) -> dict[str, float]:
-    """Best score of each licence that is the best match of a segment of ``text``."""
+    """Best score of each licence in a segment of ``text``, apart from those that stand where a better-scored one does."""
     found: dict[str, float] = {}
     low = text.lower().replace("licence", "license")
     if not any(w in low for w in templates.rare):
@@ -117,10 +169,7 @@ def scan_text(text: str, templates: Templates) -> dict[str, float]:
         if segment in seen:
             continue
         seen.add(segment)
-        grams = bigrams(normalize(segment))
-        shared = [i for i, g in enumerate(grams) if g in templates.holders]
-        if scores := templates.best(grams, shared):
-            name, s = min(scores.items(), key=lambda x: (-x[1], x[0]))
+        for name, s in templates.all(bigrams(normalize(segment))).items():
             found[name] = max(s, found.get(name, 0.0))
     return found
 

@@ -98,3 +98,15 @@ def test_spans_of_short_sentences(spark):
     assert all(got[k]["n_removed"] == 0 for k in (4, 5, 6, 7))
     gone = brute_spans(rows[:5])
     assert all(len(gone.get((True, i, t), ())) == got[i]["n_removed"] for i, t in rows[:5])
+
+
+def test_scan_finds_all_licenses_of_a_notice():
+    built = ls.build()
+    long = {n: ls.TEMPLATES[n][0] for n in ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "Apache-2.0")}
+    for a in long:
+        for b in long:
+            if a != b:
+                got = ls.scan_text(f"{long[a]}\n\n{long[b]}\n", built)
+                assert {a, b} <= set(got) and got[a] >= 0.8 and got[b] >= 0.8, (a, b, got)
+    assert {"MIT", "ISC", "Zlib", "Apache-2.0"} <= set(ls.scan_text("\n\n".join(["Third parties.", *long.values()]), built))
+    assert all(set(ls.scan_text(t, built)) == {n} for n, own in long.items() for t in (own, f"{own}\n\n{own}"))
