@@ -1,6 +1,7 @@
 """Licence scan: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-Text is lower-cased, copyright lines and punctuation are dropped, and what is left is words. A text is
+Text is lower-cased, copyright notices at the begin of a line (sign, years and holder, up to a sentence end, a word
+that begins a grant, or HOLDER_WORDS words) and punctuation are dropped, and what is left is words. A text is
 compared as a whole, by paragraph, by line and by sentence, each a segment; the score of a segment and a
 template is 2 * |A n B| / (|A| + |B|) over bigrams with repeats. As the common part is at most the smaller side,
 a score of t needs |A| between |B| * t / (2 - t) and |B| * (2 - t) / t: templates outside these size bounds
@@ -28,7 +29,16 @@ from .license_texts import TEMPLATES
 
 THRESHOLD = 0.8
 
-_COPYRIGHT = re.compile(r"(?im)^[ \t]*(?:copyright|\(c\)|©)[^\n]*$")
+#: Words of a copyright notice that are dropped at most; what stands behind them on the line is compared.
+HOLDER_WORDS = 16
+# A grant begins with one of these words; a sentence ends at a stop that is not that of an initial or of a company's form.
+_GRANT = r"(?:permission|permitted|redistribution|redistributed|distributed|licen[sc]ed?|under|released|available|published|provided|this|these|the[ \t]+(?:software|above)|use|unless|you|see)\b"
+_GOES_ON = r"(?:[^\s]*[^\s.!?]|[^\W\d_]\.|(?:inc|ltd|co|corp|llc|jr|sr|al|dr|st|etc|no)\.)(?=\s|$)"
+_COPYRIGHT = re.compile(
+    r"(?im)^[ \t]*+(?:copyright(?![ \t]++(?:notices?|holders?|owners?)\b)|\(c\)|©)"
+    rf"(?:[^\s]*+(?:[ \t]++(?![^\w\s]{{0,3}}{_GRANT}){_GOES_ON}){{0,{HOLDER_WORDS}}}(?:[ \t]++(?![^\w\s]{{0,3}}{_GRANT})[^\s]+[.!?](?=\s|$))?)"
+    r"(?:[ \t]*+all[ \t]++rights[ \t]++reserved\b\.?)?"
+)
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _CUT = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 

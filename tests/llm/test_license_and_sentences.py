@@ -110,3 +110,14 @@ def test_scan_finds_all_licenses_of_a_notice():
                 assert {a, b} <= set(got) and got[a] >= 0.8 and got[b] >= 0.8, (a, b, got)
     assert {"MIT", "ISC", "Zlib", "Apache-2.0"} <= set(ls.scan_text("\n\n".join(["Third parties.", *long.values()]), built))
     assert all(set(ls.scan_text(t, built)) == {n} for n, own in long.items() for t in (own, f"{own}\n\n{own}"))
+
+
+def test_copyright_notice_keeps_the_rest_of_its_line():
+    built = ls.build()
+    flat = " ".join(MIT.split())
+    for head in ("Copyright 2024 X. ", "Copyright (c) 2019-2024 Some Holder, Inc. All rights reserved. ", "© 2024 J. Doe and others ", "Copyright 2024 X, "):
+        assert ls.scan_text(head + flat, built).get("MIT", 0) > 0.9, head
+    assert ls.scan_text("Copyright 2024 X, released under the MIT License.", built) == {"MIT": 1.0}
+    for notice in ("Copyright (c) 2024 The Regents of the University of California. All rights reserved.", "(c) 1999, 2001 J. Doe <j@doe.org>, Acme Ltd. and contributors", "Copyright 2024 X", "© 2024 A. B. Holder."):
+        assert ls.normalize(f"{notice}\nGiven freely") == ["given", "freely"], notice
+    assert ls.normalize("the above\ncopyright notice shall") == ["the", "above", "copyright", "notice", "shall"]
