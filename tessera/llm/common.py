@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +20,16 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a folder of its own; on a cluster a machine's own folder would
+    lose what other machines write, so that is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_OWN_DIR[0]}"
@@ -32,6 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
 FILE_ROWS = 1_000_000
 
 
+def table_path(spark: SparkSession) -> str:
+    """A new folder for an intermediate table; it is deleted when the driver's JVM ends, if ``discard`` has not done so."""
+    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    where, files = _files(spark, path)
+    files.deleteOnExit(where)
+    return path
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, rows: int | None = None, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage is cut and lost executors cost nothing.
 
@@ -41,9 +61,62 @@ def materialize(df: DataFrame, rows: int | None = None, codec: str = "zstd") ->
     spark = df.sparkSession
     if rows is not None:
         df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` has returned; nothing may read them any more."""
+    for df in tables:
+        where, files = _files(df.sparkSession, df.table_path)
+        files.delete(where, True)
+
+
+#: Buckets that Spark allows by default; a table never gets more.
+_MOST_BUCKETS = 100_000
+#: Text of a bucket, as long as the bound on their number permits.
+BUCKET_TEXT = 16 << 20
+
+
+def chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """The documents as (t, row, k, b), chunk, place in it, key and UTF-8 text (empty for null), and their text's bytes.
+
+    A chunk is at most ``chunk_bytes`` of text of one task, or a longer document. The table is written once, in
+    buckets by chunk, so that what is later found for a chunk meets its texts without shuffling them. Every task
+    writes a chunk to one file of one bucket; the number of buckets follows the text, up to what Spark allows.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        t, row, filled = TaskContext.get().partitionId() << 24, 0, 0
+        for batch in batches:
+            ts, rows = [], []
+            for n in pc.binary_length(batch.column(1)).to_pylist():
+                if filled and filled + n > chunk_bytes:
+                    t, row, filled = t + 1, 0, 0
+                ts.append(t)
+                rows.append(row)
+                row, filled = row + 1, filled + n + 16
+            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(rows, pa.int32()), *batch.columns], names=["t", "row", "k", "b"])
+
+    numbered = slim.mapInArrow(run, f"t bigint, row int, k {kind}, b binary")
+    total = slim.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+    most = min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", str(_MOST_BUCKETS))), _MOST_BUCKETS)
+    n_buckets = min(max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_TEXT)), most)
+    name, place = f"tessera_{uuid.uuid4().hex}", table_path(spark)
+    numbered.write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(n_buckets, "t").sortBy("t").saveAsTable(name)
+    out = spark.table(name)
+    out.schema  # analysed while the name exists; the files stay
+    spark.sql(f"DROP TABLE {name}")
+    out.table_path = place
+    return out, total
 
 
 def fresh_name(df: DataFrame, stem: str) -> str:

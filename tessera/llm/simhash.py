@@ -19,8 +19,8 @@ the shared folder. Nothing is collected to the driver.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; repeated
 rows appear as often as they are given; a null doc_id has a component but is never its name unless the
-component has no other; an empty table gives an empty result; further columns are ignored by ``link`` and
-kept by ``keep_one``.
+component has no other; rows of one key with different texts are documents of their own; an empty table gives
+an empty result; further columns are ignored by ``link`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_rows, materialize, n_rows
+from .common import discard, map_rows, materialize, n_rows
 
 RADIUS = 3
 BITS = 64
@@ -158,8 +158,6 @@ def _link_buckets(entries: DataFrame, n_parts: int | None = None) -> DataFrame:
                 if (path[a], key[a]) != at:
                     close()
                     held, n_held, at, large = [], 0, (path[a], key[a]), False
-                elif b - a == 1 and not n_held:
-                    pass
                 held.append(fp[a:b])
                 n_held += b - a
                 if n_held > BUCKET:
@@ -241,11 +239,13 @@ def components(edges: DataFrame, n: int) -> DataFrame:
     last = None
     while True:
         both = at.unionByName(at.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
-        large = materialize(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), n)
+        least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        large = materialize(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), n)
         low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(low, "u")
-        at = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
+        after = materialize(small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), n)
+        discard(at, least, large, low)
+        at = after
         mark = at.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if mark == last:
             return at.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(at.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -258,14 +258,19 @@ def _prints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def _groups(prints: DataFrame, key: str) -> DataFrame:
-    """(fp, component_id) for the distinct fingerprints of ``prints`` (key, fp)."""
+    """(fp, component_id, first_fp) for the distinct fingerprints of ``prints`` (key, fp).
+
+    The first row of a component is that of the smallest key, null last, and of its rows that of the smallest
+    fingerprint: (component_id, first_fp).
+    """
     n = n_rows(prints)
     reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), n)
     n = n_rows(reps)
-    roots = components(links(reps.select("fp"), n), n)
-    rooted = materialize(reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), n)
-    names = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), n)
-    return rooted.join(names, "root").select("fp", "component_id", "root")
+    edges = links(reps.select("fp"), n)
+    rooted = materialize(reps.join(components(edges, n).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), n)
+    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep"), F.col("fp"))).alias("first")
+    names = materialize(rooted.groupBy("root").agg(first), n)
+    return rooted.join(names, "root").select("fp", F.col("first.rep").alias("component_id"), F.col("first.fp").alias("first_fp"))
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
@@ -277,22 +282,26 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
-    """The document with the smallest key of each component, with the columns of ``docs``.
+    """One row of each component, with the columns of ``docs``: that of its smallest key (null last).
 
-    Of repeated rows with that key one stays. A component whose keys are all null keeps one of its rows.
+    If the smallest key stands in several rows of a component, it is that of the smallest fingerprint, and of rows
+    that agree in both that of the text with the smallest hash. Rows of one key with unlike texts belong to
+    different components and are kept or dropped apart.
     """
     prints = _prints(docs, key, text, width)
     n = n_rows(prints)
-    groups = materialize(_groups(prints, key), n)
-    ids = materialize(prints.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")), n)
-    kept = groups.select(F.col("component_id").alias(key)).where(F.col(key).isNotNull()).distinct().join(ids, key)
-    kept = materialize(kept, n)
-    once = docs.join(kept.where("n = 1").select(key), key, "left_semi")
-    many = docs.join(kept.where("n > 1").select(key), key, "left_semi").dropDuplicates([key])
-    mark = fresh_name(docs, "row")
-    nulls = docs.where(F.col(key).isNull()).select(F.struct(*docs.columns).alias(mark), F.col(text).alias("body"))
-    nulls = with_fingerprint(nulls, "body", width).join(groups.where("component_id IS NULL").select("fp", "root"), "fp").dropDuplicates(["root"]).select(f"{mark}.*")
-    return once.select(*docs.columns).unionByName(many.select(*docs.columns)).unionByName(nulls.select(*docs.columns))
+    groups = _groups(prints, key).where(F.col("fp") == F.col("first_fp")).select(F.col("component_id").alias(key), "fp")
+    held = materialize(prints.groupBy(key).agg(F.count("*").alias("n")), n)
+    kept = materialize(groups.join(held.withColumnRenamed(key, "own"), F.col(key).eqNullSafe(F.col("own"))).select(key, "fp", "n"), n)
+    # A key that stands in one row needs no look at the text.
+    once = docs.join(kept.where((F.col("n") == 1) & F.col(key).isNotNull()).select(key), key, "left_semi").select(*docs.columns)
+    several = kept.where((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("own"), F.col("fp").alias("own_fp"))
+    rows = docs.join(several.select("own").distinct(), F.col(key).eqNullSafe(F.col("own")), "left_semi")
+    rows = rows.select(F.col(key).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"))
+    rows = with_fingerprint(rows.withColumn("order", F.xxhash64(F.coalesce(F.col("body"), F.lit("")))), "body", width)
+    rows = rows.groupBy("k", "fp").agg(F.min_by("row", "order").alias("row"))
+    several = rows.join(several, F.col("k").eqNullSafe(F.col("own")) & (F.col("fp") == F.col("own_fp")), "left_semi").select("row.*")
+    return once.unionByName(several)
 
 
 def op2_simhash_covering(spark, sf_dir: str) -> DataFrame:

@@ -84,12 +84,44 @@ def test_chains_and_full_buckets(spark, monkeypatch):
     assert [got.get(x, x) for x in signed] == [least[c] for c in comp]
 
 
+def brute_keep(rows):
+    """(id, text) of the row that stays of each component, with texts told apart by fingerprint alone."""
+    prints = [brute_print(r[1]) for r in rows]
+    comp = brute_components(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    first = {}
+    for r, c, p in zip(rows, comp, signed):
+        order = (r[0] is None, r[0] or 0, p)
+        if c not in first or order < first[c][0]:
+            first[c] = (order, r[0], p)
+    return sorted((str(k), p) for _, k, p in first.values())
+
+
+def kept_pairs(got):
+    def signed(p):
+        return p - (1 << 64) if p >> 63 else p
+
+    return sorted((str(r["doc_id"]), signed(brute_print(r["text"]))) for r in got)
+
+
 def test_keep_one(docs, rows):
     kept = sh.keep_one(docs)
     assert kept.columns == docs.columns
     got = kept.collect()
-    names = {c for _, _, c in expected(rows)}
-    assert sorted(str(r["doc_id"]) for r in got) == sorted(names - {"None"})
+    assert kept_pairs(got) == brute_keep(rows)
+    have = {tuple(r) for r in rows}
+    assert all(tuple(r) in have for r in got)
+
+
+def test_keep_one_goes_by_row_and_not_by_id(spark):
+    """One id with several texts, in either order: unlike texts stay apart, copies under another id go."""
+    a, b, c = "alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white"
+    cases = [[(2, b), (5, b), (5, a)], [(5, a), (5, b)], [(5, a), (5, b), (7, a), (7, c)], [(None, a), (None, b), (3, a)], [(5, a), (5, a), (5, b), (5, b)]]
+    for case in cases:
+        want = {(brute_print(t), min((i for i, x in case if x == t and i is not None), default=None), t) for _, t in case}
+        for order in (case, case[::-1]):
+            got = sh.keep_one(spark.createDataFrame(list(order), "doc_id long, text string").coalesce(1)).collect()
+            assert sorted((str(r["doc_id"]), r["text"]) for r in got) == sorted((str(i), t) for _, i, t in want), order
 
 
 def test_nulls_only(spark):
