@@ -33,10 +33,12 @@ _OWN: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; one of our own where none is named, as in tests."""
+    """The folder that all executors share, as the cluster names it; a local session has one of its own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="tessera-"))
     return f"file://{_OWN[0]}"
