@@ -1,7 +1,7 @@
 """Image operators on rows (image_id, channels, height, width, pixels): pixels are doubles, channel by channel, row by row.
 
-Kernels are array expressions over places, so an image never leaves its row; only resizing and the histogram
-use more: resizing multiplies by two small matrices in NumPy, and the histogram is an aggregation of at most 256 rows an image.
+Kernels are array expressions over places, so an image never leaves its row and keys play no part; only resizing
+uses more: it multiplies by two small matrices in NumPy.
 """
 
 from __future__ import annotations
@@ -88,15 +88,23 @@ def resize(df: DataFrame, size: int, g: Grid = GRID) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def equalize(df: DataFrame, key: str, g: Grid = GRID) -> DataFrame:
-    """Pixels 0..255 replaced by the truncated share of pixels up to their value, times 255."""
+def equalize(df: DataFrame, g: Grid = GRID) -> DataFrame:
+    """Pixels 0..255 replaced by the truncated share of pixels up to their value, times 255.
+
+    The shares of the 256 values come from the sorted pixels of the row itself, so nothing is joined or shuffled.
+    """
     p = F.col(g.pixels)
-    counts = df.select(key, F.explode(p).alias("v")).groupBy(key, F.least(F.greatest(F.floor("v"), F.lit(0)), F.lit(255)).cast("int").alias("v")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(key).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    cdf = counts.select(key, "v", F.floor(F.sum("n").over(upto) * 255 / F.sum("n").over(Window.partitionBy(key))).cast("double").alias("out"))
-    tables = cdf.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("v", "out"))).alias("__table"))
-    new = F.transform(p, lambda v: F.col("__table")[F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)).cast("int")])
-    return df.join(tables, key, "left").withColumn(g.pixels, F.when(F.size(p) > 0, new).otherwise(p)).drop("__table")
+    level = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)).cast("int")
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+
+    def table(s: Column) -> Column:
+        """For each value the mapped one; ``s`` are the pixels, rising."""
+        starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        upto = lambda v, at: F.coalesce(F.get(F.filter(at, lambda i: F.get(s, i) > v), F.lit(0)), F.size(s))
+        return let(starts, lambda at: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.floor(upto(v, at).cast("long") * 255 / F.size(s)).cast("double")))
+
+    new = let(F.array_sort(F.transform(p, level)), lambda s: let(table(s), lambda t: F.transform(p, lambda v: F.get(t, level(v)))))
+    return df.withColumn(g.pixels, F.when(F.size(p) > 0, new).otherwise(p))
 
 
 def blur(g: Grid = GRID) -> Column:
@@ -265,7 +273,7 @@ def process(df: DataFrame, config: ImageConfig, fitted: tuple[float, float] | No
     """resize -> equalise -> blur -> normalise."""
     out = resize(df, config.size, g) if config.size else df
     if config.equalize:
-        out = equalize(out, config.key, g)
+        out = equalize(out, g)
     if config.blur:
         out = out.withColumn(g.pixels, blur(g))
     return out.withColumn(g.pixels, normalize(config.normalization, fitted, g)) if normalized else out

@@ -43,12 +43,12 @@ def quantized(df: DataFrame, on: bool = True) -> DataFrame:
 # Text classifier --------------------------------------------------------------------------------------------
 
 
-def softmax_scores(vectors: DataFrame, keys: DataFrame, key: str, weights: DataFrame, bias: tuple[float, float]) -> DataFrame:
-    """(key, low, high) from long tables: vectors (key, id, v), weights (id, w0, w1). Keys without terms get the bias."""
-    logits = vectors.join(F.broadcast(weights), "id").groupBy(key).agg(F.sum(F.col("v") * F.col("w0")).alias("z0"), F.sum(F.col("v") * F.col("w1")).alias("z1"))  # one row a vocabulary term
-    z = keys.select(key).join(logits, key, "left").select(key, (F.coalesce("z0", F.lit(0.0)) + bias[0]).alias("z0"), (F.coalesce("z1", F.lit(0.0)) + bias[1]).alias("z1"))
-    top = F.greatest("z0", "z1")
-    e0, e1 = F.exp(F.col("z0") - top), F.exp(F.col("z1") - top)
+def softmax_scores(docs: DataFrame, key: str, tokens: Column, vocab: DataFrame, weights: DataFrame, bias: tuple[float, float]) -> DataFrame:
+    """(key, low, high) for every row of ``docs``, from weights (id, w0, w1). Rows without terms get the bias."""
+    known = vocab.select("term", "id", "idf").join(weights, "id")  # one row a vocabulary term
+    z = tx.vector_rows(docs, [key], tokens, known, *[(F.coalesce(F.sum(F.col("v") * F.col(w)), F.lit(0.0)) + b).alias(f"__{w}") for w, b in zip(("w0", "w1"), bias)])
+    top = F.greatest("__w0", "__w1")
+    e0, e1 = F.exp(F.col("__w0") - top), F.exp(F.col("__w1") - top)
     return z.select(key, (e0 / (e0 + e1)).alias("low"), (e1 / (e0 + e1)).alias("high"))
 
 
@@ -67,15 +67,16 @@ class TextClassifier:
         self.vocab = tx.model_vocabulary(docs, self.key, tokens, self.max_features).cache()
         size = self.vocab.count()
         rows = docs.where(F.col(self.label).isNotNull() & F.col(self.key).isNotNull()).orderBy(self.key).limit(self.train_docs)
-        sparse = tx.vectorize(rows, self.key, tokens, self.vocab).groupBy(self.key).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-        data = rows.select(self.key, F.col(self.label).cast("int").alias("y")).join(sparse, self.key, "left").select(F.col(self.key).alias("k"), "y", "ids", "vs")
+        rows = rows.select(F.col(self.key).alias("k"), F.col(self.label).cast("int").alias("y"), tokens.alias("ts"))
+        terms = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("id", "v"))))
+        data = tx.vector_rows(rows, ["k", "y"], F.col("ts"), self.vocab.select("term", "id", "idf"), terms.alias("terms"))
         lr, epochs, seed = self.learning_rate, self.epochs, self.seed
 
         def run(batches):
-            got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["k"])
+            got = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["k"], r["y"], [(t["id"], t["v"]) for t in r["terms"]]))
             w = np.random.default_rng(seed).uniform(-0.1, 0.1, (size, 2))
             b = np.zeros(2)
-            docs_ = [(np.array(r["ids"] or [], int), np.array(r["vs"] or [], float), r["y"]) for r in got]
+            docs_ = [(np.array([t["id"] for t in r["terms"]], int), np.array([t["v"] for t in r["terms"]], float), r["y"]) for r in got]
             for _ in range(epochs):
                 for ids, vs, y in docs_:
                     z = vs @ w[ids] + b
@@ -98,8 +99,7 @@ class TextClassifier:
     def predict(self, docs: DataFrame) -> DataFrame:
         """(key, low, high)."""
         weights = self.weight_table(docs.sparkSession)
-        vectors = tx.vectorize(docs, self.key, tx.model_tokenize(F.col(self.text)), self.vocab)
-        return softmax_scores(vectors, docs, self.key, weights, self.bias)
+        return softmax_scores(docs, self.key, tx.model_tokenize(F.col(self.text)), self.vocab, weights, self.bias)
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.vocab.write.mode("overwrite").parquet(f"{path}/vocab")

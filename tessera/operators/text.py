@@ -112,10 +112,29 @@ def bag_tokenize(text: Column) -> Column:
 # Vocabularies -----------------------------------------------------------------------------------------------
 
 
+def counted(tokens: Column) -> Column:
+    """Array of (term, n): each different token and how often it stands there, from one sort inside the row."""
+
+    def runs(ts: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(ts) - 1), lambda i: (i == 0) | (F.get(ts, i) != F.get(ts, i - 1)))
+        rows = _let(starts, lambda at: F.transform(at, lambda p, k: F.struct(F.get(ts, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ts)) - p).cast("long").alias("n"))))
+        return F.when(F.size(ts) > 0, rows)
+
+    return _let(F.sort_array(tokens), runs)
+
+
 def term_counts(docs: DataFrame, key: str, tokens: Column) -> DataFrame:
-    """(key, term, n, total): the number of each term and of all terms of a document."""
-    slim = docs.select(key, tokens.alias("tokens"))
-    return slim.select(key, F.size("tokens").alias("total"), F.explode("tokens").alias("term")).groupBy(key, "total", "term").agg(F.count("*").alias("n"))
+    """(key, term, n, total): the number of each term and of all terms of a row; nothing is shuffled.
+
+    Rows are counted one by one, so rows that share a key, or have none, stay apart.
+    """
+    slim = docs.select(key, tokens.alias("__tokens"))
+    return slim.select(key, F.size("__tokens").alias("total"), F.inline(counted(F.col("__tokens"))))
+
+
+def _numbered(docs: DataFrame, keep: list[str], tokens: Column) -> DataFrame:
+    """``keep`` and the tokens of each row as __tokens, with a number __row that is the row's own whatever its key is."""
+    return docs.select(F.monotonically_increasing_id().alias("__row"), *keep, tokens.alias("__tokens"))
 
 
 def _ranked(counted: DataFrame, order: list[Column], take: int, first_id: int) -> DataFrame:
@@ -130,8 +149,13 @@ def vocabulary(docs: DataFrame, tokens: Column, max_features: int, min_frequency
     0 pads and 1 stands for unknown terms. A refit with ``merge_into`` keeps old terms that the new
     corpus does not rank; terms of both take the new id.
     """
-    counted = docs.select(F.explode(tokens).alias("term")).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= min_frequency)
-    new = _ranked(counted, [F.desc("n"), F.asc("term")], max(max_features - 2, 0), 2)
+    return vocabulary_of(docs.select(F.explode(tokens).alias("term"), F.lit(1).alias("n")), max_features, min_frequency, merge_into)
+
+
+def vocabulary_of(counts: DataFrame, max_features: int, min_frequency: int = 2, merge_into: DataFrame | None = None) -> DataFrame:
+    """``vocabulary`` from rows (term, n), as ``term_counts`` gives them."""
+    totals = counts.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= min_frequency)
+    new = _ranked(totals, [F.desc("n"), F.asc("term")], max(max_features - 2, 0), 2)
     if merge_into is None:
         return new
     return new.unionByName(merge_into.join(new, "term", "left_anti").select("term", "n", "id"))
@@ -154,11 +178,11 @@ def bag_vocabulary(docs: DataFrame, max_features: int, text: str = "text") -> Da
 
 
 def sequences(docs: DataFrame, key: str, tokens: Column, vocab: DataFrame, length: int) -> DataFrame:
-    """(key, ids): the first ``length`` tokens as ids, unknown ones as 1, padded with 0 at the tail."""
-    rows = docs.select(key, F.slice(tokens, 1, length).alias("tokens"))
-    seen = rows.select(key, F.posexplode_outer("tokens").alias("pos", "term")).join(F.broadcast(vocab.select("term", "id")), "term", "left")  # at most max_features terms
+    """(key, ids) for every row: the first ``length`` tokens as ids, unknown ones as 1, padded with 0 at the tail."""
+    rows = _numbered(docs, [key], F.slice(tokens, 1, length))
+    seen = rows.select("__row", key, F.posexplode_outer("__tokens").alias("pos", "term")).join(F.broadcast(vocab.select("term", "id")), "term", "left")  # at most max_features terms
     ids = F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id"))))), lambda x: x["id"])
-    out = seen.groupBy(key).agg(ids.alias("ids"))
+    out = seen.groupBy("__row", key).agg(ids.alias("ids"))
     return out.select(key, F.concat("ids", F.array_repeat(F.lit(PAD), F.lit(length) - F.size("ids"))).alias("ids"))
 
 
@@ -173,40 +197,57 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 def tfidf(docs: DataFrame, key: str, tokens: Column, vocab: DataFrame) -> DataFrame:
     """(key, id, v) over the batch: tf counts unknown and repeated terms in its total, idf = ln(N / df) of this batch."""
-    n = docs.select(key).count()
-    counted = term_counts(docs, key, tokens).join(F.broadcast(vocab.select("term", "id")), "term")  # at most max_features terms
-    df = counted.groupBy("id").agg(F.count("*").alias("df"))
-    out = counted.join(F.broadcast(df), "id")  # one row a vocabulary term
+    return tfidf_of(term_counts(docs, key, tokens), docs.select(key).count(), key, vocab)
+
+
+def tfidf_of(counts: DataFrame, n: int, key: str, vocab: DataFrame) -> DataFrame:
+    """``tfidf`` from the ``term_counts`` of ``n`` documents; where these are stored, texts are cut into tokens once."""
+    counts = counts.join(F.broadcast(vocab.select("term", "id")), "term")  # at most max_features terms
+    df = counts.groupBy("id").agg(F.count("*").alias("df"))
+    out = counts.join(F.broadcast(df), "id")  # one row a vocabulary term
     return out.select(key, "id", (F.col("n") / F.col("total") * F.log(F.lit(float(n)) / F.col("df"))).alias("v"))
 
 
 def vectorize(docs: DataFrame, key: str, tokens: Column, vocab: DataFrame) -> DataFrame:
     """(key, id, v) with the idf that ``vocab`` froze at its fit."""
-    counted = term_counts(docs, key, tokens).join(F.broadcast(vocab.select("term", "id", "idf")), "term")  # at most max_features terms
-    return counted.select(key, "id", (F.col("n") / F.col("total") * F.col("idf")).alias("v"))
+    counts = term_counts(docs, key, tokens).join(F.broadcast(vocab.select("term", "id", "idf")), "term")  # at most max_features terms
+    return counts.select(key, "id", (F.col("n") / F.col("total") * F.col("idf")).alias("v"))
+
+
+def vector_rows(docs: DataFrame, keep: list[str], tokens: Column, vocab: DataFrame, *aggs: Column) -> DataFrame:
+    """``keep`` and ``aggs`` over the columns of ``vocab`` and the weight v, one row for each row of ``docs``, from one pass.
+
+    Rows without a term of the vocabulary aggregate nulls. All terms of a row leave one task, so what is shuffled
+    is a row's aggregates.
+    """
+    rows = _numbered(docs, keep, tokens)
+    rows = rows.select("__row", *keep, F.size("__tokens").alias("total"), F.inline_outer(counted(F.col("__tokens"))))
+    rows = rows.join(F.broadcast(vocab), "term", "left")  # at most max_features terms
+    return rows.withColumn("v", F.col("n") / F.col("total") * F.col("idf")).groupBy("__row", *keep).agg(*aggs).drop("__row")
 
 
 def bag_of_words(docs: DataFrame, key: str, vocab: DataFrame, text: str = "text") -> DataFrame:
     """(key, id, v): raw counts."""
-    counted = term_counts(docs, key, bag_tokenize(F.col(text))).join(F.broadcast(vocab.select("term", "id")), "term")  # at most max_features terms
-    return counted.select(key, "id", F.col("n").cast("double").alias("v"))
+    counts = term_counts(docs, key, bag_tokenize(F.col(text))).join(F.broadcast(vocab.select("term", "id")), "term")  # at most max_features terms
+    return counts.select(key, "id", F.col("n").cast("double").alias("v"))
 
 
 # Keywords, entities, statistics -----------------------------------------------------------------------------
 
 
 def keyword_counts(docs: DataFrame, key: str, tokens: Column, keywords: tuple[str, ...] = lex.CLINICAL_KEYWORDS) -> DataFrame:
-    """(key, term, n) for the keywords of a document."""
-    hits = docs.select(key, F.explode(F.filter(tokens, lambda t: t.isin(*keywords))).alias("term"))
-    return hits.groupBy(key, "term").agg(F.count("*").alias("n"))
+    """(key, term, n) for the keywords of each row."""
+    return docs.select(key, F.inline(counted(F.filter(tokens, lambda t: t.isin(*keywords)))))
 
 
 def _consumed(tokens: Column) -> Column:
-    """For each token 0 (free), 1 (names a medication next) or 2 (is that medication): a fold, since what was taken is not looked at again."""
-    step = lambda acc, t: F.concat(
-        acc, F.array(F.when(F.element_at(acc, -1) == 1, 2).when(t.isin(*lex.MEDICATION_WORDS) & (F.size(acc) < F.size(tokens)), 1).otherwise(0))
-    )
-    return F.slice(F.aggregate(tokens, F.array(F.lit(0)), step), F.lit(2), F.size(tokens))
+    """For each token 0 (free), 1 (names a medication next) or 2 (is that medication).
+
+    What was taken is not looked at again: on one letter a token, that is the leftmost non-overlapping match.
+    """
+    letters = F.array_join(F.transform(tokens, lambda t: F.when(t.isin(*lex.MEDICATION_WORDS), "m").otherwise("o")), "")
+    states = F.split(F.regexp_replace(letters, "m.", "12"), "")
+    return F.transform(states, lambda c: F.when(c == "1", 1).when(c == "2", 2).otherwise(0))
 
 
 def entities(tokens: Column) -> Column:

@@ -65,7 +65,7 @@ def luma(spark, sf_dir):
 
 QUERIES = {
     "img_luma": luma,
-    "img_equalize": lambda spark, sf_dir: _flat(im.equalize(_grids(spark, sf_dir), "image_id")),
+    "img_equalize": lambda spark, sf_dir: _flat(im.equalize(_grids(spark, sf_dir))),
     "img_blur3": _map(im.blur),
     "img_minmax": _map(lambda: im.normalize("minmax")),
     "img_zscore": _map(lambda: im.normalize("zscore")),

@@ -59,7 +59,7 @@ def softmax_score(spark, sf_dir):
     words = tx.model_tokenize(F.col("text"))
     vocab = tx.model_vocabulary(docs, "doc_id", words, 200)
     weights = spark.range(200).select(F.col("id").cast("int").alias("id"), ((F.col("id") % 7 - 3) / 2).alias("w0"), ((F.col("id") % 5 - 2) / 2).alias("w1"))
-    out = md.softmax_scores(tx.vectorize(docs, "doc_id", words, vocab), docs, "doc_id", weights, (0.1, -0.1))
+    out = md.softmax_scores(docs, "doc_id", words, vocab, weights, (0.1, -0.1))
     return out.select("doc_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 

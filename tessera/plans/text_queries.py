@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..operators import text as tx
-from ..session import spread, table
+from ..session import spread, stored, table
 from .fixtures import NOTES_SQL, notes
 
 
@@ -64,7 +64,8 @@ def _weights(df):
 
 def tfidf_batch(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    return _weights(tx.tfidf(docs, "doc_id", _tokens(), tx.vocabulary(docs, _tokens(), 200, 2)))
+    counts = stored(tx.term_counts(docs, "doc_id", _tokens()))
+    return _weights(tx.tfidf_of(counts, docs.count(), "doc_id", tx.vocabulary_of(counts, 200, 2)))
 
 
 def tfidf_fitted(spark, sf_dir):

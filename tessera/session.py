@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,6 +45,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"file://{_OWN[0]}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read back, for what is used several times; gone when the driver's JVM ends."""
+    spark, jvm = df.sparkSession, df.sparkSession.sparkContext._jvm
+    path = f"{scratch_dir(spark)}/tables/{uuid.uuid4().hex}"
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores where its scan has fewer splits than there are: small files before heavy expressions.
 

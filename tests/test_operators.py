@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import lexicon as lex
 from tessera.operators import base, fusion, relational, stats, tabular, temporal, text
+from tessera.operators import text as tx
 from tessera.operators import image as im
 from tessera.operators import models as md
 from tessera.sources import io, schema
@@ -250,7 +252,7 @@ def out(df, col=None):
 
 
 def test_image_kernels(spark):
-    assert out(im.equalize(picture(spark, [0, 0, 128, 255], 2, 2), "image_id")) == [127, 127, 191, 255]
+    assert out(im.equalize(picture(spark, [0, 0, 128, 255], 2, 2))) == [127, 127, 191, 255]
     assert out(picture(spark, [7] * 9, 3, 3), im.lbp())[4] == 1.0
     rng = random.Random(1)
     p = [rng.randrange(256) for _ in range(2 * 5 * 7)]
@@ -372,3 +374,63 @@ def test_tables_in_the_catalogue(spark, tmp_path):
     relational.drop_tables(spark, "health_test")
     assert spark.catalog.listTables("health_test") == []
     spark.sql("DROP DATABASE health_test")
+
+
+# Repeated and null keys ---------------------------------------------------------------------------------------
+
+KEYED = [(1, "fever cough"), (1, "cough cough pain"), (None, "fever"), (None, None), (2, ""), (2, "fever fever cough")]
+
+
+def test_text_rows_that_share_a_key_stay_apart(spark):
+    docs = spark.createDataFrame(KEYED, "doc_id long, text string").repartition(3)
+    words = F.split("text", " ")
+    vocab = spark.createDataFrame([("cough", 2, 1.0), ("fever", 3, 2.0)], "term string, id int, idf double")
+    seqs = sorted(str([r["doc_id"], r["ids"]]) for r in tx.sequences(docs, "doc_id", words, vocab, 3).collect())
+    assert seqs == sorted(map(str, [[1, [3, 2, 0]], [1, [2, 2, 1]], [None, [3, 0, 0]], [None, [0, 0, 0]], [2, [1, 0, 0]], [2, [3, 3, 2]]]))
+    want = sorted(str((k, w, n, len(t.split(" ")))) for k, t in KEYED if t is not None for w, n in Counter(t.split(" ")).items())
+    assert sorted(str((r["doc_id"], r["term"], r["n"], r["total"])) for r in tx.term_counts(docs, "doc_id", words).collect()) == want
+    df = {"cough": 3, "fever": 3}
+    ids = {"cough": 2, "fever": 3}
+    want = [(k, ids[w], n / len(t.split(" ")) * math.log(6 / df[w])) for k, t in KEYED if t is not None for w, n in Counter(t.split(" ")).items() if w in df]
+    got = [tuple(r) for r in tx.tfidf(docs, "doc_id", words, vocab).collect()]
+    assert sorted(str((k, i, round(v, 9))) for k, i, v in got) == sorted(str((k, i, round(v, 9))) for k, i, v in want)
+    weights = spark.createDataFrame([(2, 0.5, -0.5), (3, 1.0, 0.0)], "id int, w0 double, w1 double")
+    got = md.softmax_scores(docs, "doc_id", words, vocab, weights, (0.1, -0.1)).collect()
+
+    def high(t):
+        n = Counter((t or "").split(" "))
+        size = len(t.split(" ")) if t is not None else 1
+        z0, z1 = 0.1 + (n["cough"] * 0.5 + n["fever"] * 2.0) / size, -0.1 - n["cough"] * 0.5 / size
+        return math.exp(z1) / (math.exp(z0) + math.exp(z1))
+
+    assert sorted(str((r["doc_id"], round(r["high"], 9))) for r in got) == sorted(str((k, round(high(t), 9))) for k, t in KEYED)
+    hits = tx.keyword_counts(docs, "doc_id", words, ("cough",)).collect()
+    assert sorted((r["doc_id"], r["n"]) for r in hits) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_equalize_goes_by_row(spark):
+    rows = [(1, 1, 2, 2, [0.0, 0.0, 128.0, 255.0]), (1, 1, 2, 2, [9.0, 9.0, 9.0, 9.0]), (None, 1, 2, 2, [0.0, 0.0, 128.0, 255.0]), (2, 1, 0, 0, []), (3, 1, 1, 1, None)]
+    df = spark.createDataFrame(rows, "image_id long, channels int, height int, width int, pixels array<double>")
+    got = sorted(str((r["image_id"], r["pixels"])) for r in im.equalize(df).collect())
+    even = [127.0, 127.0, 191.0, 255.0]
+    assert got == sorted(map(str, [(1, even), (1, [255.0] * 4), (None, even), (2, []), (3, None)]))
+
+
+def test_consumed_tokens_against_a_fold(spark):
+    rng = random.Random(5)
+    med, other = next(iter(lex.MEDICATION_WORDS)), "aspirin81"
+    texts = [[rng.choice([med, other, "x"]) for _ in range(rng.randrange(12))] for _ in range(200)]
+
+    def fold(ts):
+        out, i = [0] * len(ts), 0
+        while i < len(ts):
+            if ts[i] in lex.MEDICATION_WORDS and i + 1 < len(ts):
+                out[i], out[i + 1] = 1, 2
+                i += 2
+            else:
+                i += 1
+        return [t for t, s in zip(ts, out) if s == 2]
+
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, ts array<string>")
+    for r in df.select("ts", tx.entities(F.col("ts")).alias("e")).collect():
+        assert r["e"]["medications"] == fold(r["ts"]), r["ts"]

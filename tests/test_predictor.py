@@ -30,6 +30,23 @@ def test_predict_from_what_is_there(spark, trained):
     assert Predictor().predict({"tabular": frames["tabular"]}).count() == 1
 
 
+def test_every_window_and_image_counts(spark):
+    p = Predictor(image_side=8)
+    one = [float(i % 97) for i in range(64)]
+    small, large = [float(i) for i in range(16)], [float(i % 251) for i in range(400)]
+    kind = "id long, channels int, height int, width int, pixels array<double>"
+    rows = [(1, 1, 8, 8, one), (2, 1, 4, 4, small), (3, 1, 20, 20, large), (4, 3, 8, 8, one * 3), (5, 1, 8, 8, [1.0]), (1, 1, 4, 4, small)]
+    got = {r["id"]: r["high"] for r in p.scores({"image": spark.createDataFrame(rows, kind)})["image"].collect()}
+    alone = {r["id"]: r["high"] for r in p.scores({"image": spark.createDataFrame([(7, *rows[0][1:])], kind)})["image"].collect()}
+    assert set(got) == {1, 2, 3, 4} and got[4] == pytest.approx(alone[7]) and got[1] == pytest.approx((alone[7] + got[2]) / 2)
+    series = lambda k, a, b: [(k, t, float(60 + t), 100.0, 1.0, 0.0) for t in range(a, b)]
+    kind = "id long, t int, heart_rate double, blood_pressure double, movement double, contractions double"
+    score = lambda rows: {r["id"]: r["high"] for r in p.scores({"temporal": spark.createDataFrame(rows, kind)})["temporal"].collect()}
+    both = score(series(1, 0, 48))[1]
+    parts = score(series(1, 0, 24) + series(2, 24, 48))
+    assert both == pytest.approx((parts[1] + parts[2]) / 2)
+
+
 def test_missing_modalities_keep_their_weights(spark, trained):
     frames = io.sample_input(spark)
     parts = trained.scores({k: frames[k] for k in ("temporal", "text")})
