@@ -29,7 +29,6 @@ other; an empty table gives an empty result; further columns are ignored. Keys a
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +36,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shared_dir
+from .common import chunked
 
 MIN_LENGTH = 50
 ANCHOR = 24
@@ -46,6 +46,8 @@ CHUNK_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 20
 #: Text for each part that minimizers are dealt to; what a part receives is of the same order.
 BUCKET_BYTES = 4 << 20
+#: Text for each task that takes such parts, one after another.
+TASK_BYTES = 16 << 20
 #: Places of a minimizer above which its windows are dealt out one by one.
 HOT = 10_000
 _NONE = (1 << 63) - 1
@@ -226,37 +228,11 @@ def smallest_holder(segments: list[bytes], holders: list[int], length: int = MIN
 
 
 def _chunks(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """The documents as (t, row, k, id, b): chunk, place in it, key as given and as a number, bytes; in buckets by chunk.
-
-    Also the number of parts that minimizers are dealt to: one for BUCKET_BYTES of text.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(_NONE)).alias("id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
-
-    def run(batches):
-        from pyspark import TaskContext
-
-        t, row, filled = TaskContext.get().partitionId() << 24, 0, 0
-        for batch in batches:
-            ts, rows = [], []
-            for n in pc.binary_length(batch.column(2)).to_pylist():
-                if filled and filled + n > chunk_bytes:
-                    t, row, filled = t + 1, 0, 0
-                ts.append(t)
-                rows.append(row)
-                row, filled = row + 1, filled + n + 16
-            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(rows, pa.int32()), *batch.columns], names=["t", "row", "k", "id", "b"])
-
-    numbered = slim.mapInArrow(run, f"t bigint, row int, k {kind}, id bigint, b binary")
-    total = slim.agg(F.sum(F.octet_length("b"))).first()[0] or 0
-    n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * chunk_bytes)))
-    name, place = f"tessera_{uuid.uuid4().hex}", f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    numbered.write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(n_buckets, "t").sortBy("t").saveAsTable(name)
-    out = spark.table(name)
-    out.schema  # analysed while the name exists; the files stay
-    spark.sql(f"DROP TABLE {name}")
-    return out, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    """The documents as (t, row, k, id, b): chunk, place in it, key as given and as a number, bytes; and their bytes in all."""
+    if not isinstance(docs.schema[key].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        raise ValueError(f"{key} must be an integer column: what is smaller is decided by number")
+    chunks, total = chunked(docs, key, text, chunk_bytes)
+    return chunks.select("t", "row", "k", F.coalesce(F.col("k").cast("long"), F.lit(_NONE)).alias("id"), "b"), total
 
 
 _COLUMNS = {"h": "<i8", "n": "<u2", "key": "<i8", "mark": "<i8", "sid": "<i4", "lo": "<i8", "hi": "<i8", "a": "<i4", "b": "<i4", "m": "<i8"}
@@ -343,8 +319,8 @@ def _minimizers(chunks: DataFrame, length: int, gram: int, parts: int) -> DataFr
     return chunks.select("t", "b").mapInArrow(run, _DEALT)
 
 
-def _by_part(dealt: DataFrame, names: tuple[str, ...], work, schema: str) -> DataFrame:
-    """``work(t, tables)`` for all blobs of each part; it yields batches. A part is held at a time."""
+def _by_part(dealt: DataFrame, tasks: int, names: tuple[str, ...], work, schema: str) -> DataFrame:
+    """``work(t, tables)`` for all blobs of each part; it yields batches. A part is held at a time, a task has several."""
 
     def run(batches):
         at, ts, blobs = None, [], []
@@ -359,10 +335,10 @@ def _by_part(dealt: DataFrame, names: tuple[str, ...], work, schema: str) -> Dat
         if ts:
             yield from work(np.array(ts), [_unpacked(b, *names) for b in blobs])
 
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(run, schema)
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, schema)
 
 
-def _wanted(minimizers: DataFrame, hot: int) -> DataFrame:
+def _wanted(minimizers: DataFrame, tasks: int, hot: int) -> DataFrame:
     """(t, blob): minimizers h with two places or more, for the chunks that hold them; h is negative if it is split by windows."""
 
     def work(ts, tables):
@@ -378,7 +354,7 @@ def _wanted(minimizers: DataFrame, hot: int) -> DataFrame:
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in kept], pa.int64()), pa.array([_packed(h=x) for _, x in kept], pa.binary())], names=["t", "blob"])
 
-    return _by_part(minimizers, ("h", "n"), work, "t bigint, blob binary")
+    return _by_part(minimizers, tasks, ("h", "n"), work, "t bigint, blob binary")
 
 
 def _member(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
@@ -392,7 +368,7 @@ class _Segments:
 
     Segment k has key[k], mark[k], its number sid[k] among those of its key, and the places first[k]:first[k + 1] of
     row and place. A minimizer is its own mark and key; that of a hot one is negative, and the key is then the
-    negative hash of a window. Segments of one key are told apart by a 64-bit hash of their bytes.
+    negative hash of a window. Segments of one key are sorted by a 64-bit hash, and equal hashes are compared by bytes.
     """
 
     def __init__(self, texts: list[bytes], wanted: np.ndarray, length: int, gram: int):
@@ -422,15 +398,35 @@ class _Segments:
         key, mark, own, at, size, row, place = (np.concatenate(c) for c in zip(*found)) if found else [np.zeros(0, np.int64)] * 7
         order = np.lexsort((own, key))
         key, own, self.row, self.place = key[order], own[order], row[order], place[order]
+        mark, at, size = mark[order], at[order], size[order]
         new = np.ones(len(key), bool)
         new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+        if not self._equal(np.flatnonzero(~new), at, size):
+            # Different segments share a hash: their bytes decide.
+            held = [self.pool[a : a + n].tobytes() for a, n in zip(at.tolist(), size.tolist())]
+            order = np.array(sorted(range(len(key)), key=lambda k: (key[k], held[k])))
+            key, mark, at, size, self.row, self.place = (c[order] for c in (key, mark, at, size, self.row, self.place))
+            new[1:] = [key[k] != key[k - 1] or held[order[k]] != held[order[k - 1]] for k in range(1, len(key))]
         at_first = np.flatnonzero(new)
         self.first = np.append(at_first, len(key))
-        self.key, self.mark, self.at, self.size = key[at_first], mark[order][at_first], at[order][at_first], size[order][at_first]
+        self.key, self.mark, self.at, self.size = key[at_first], mark[at_first], at[at_first], size[at_first]
         self.keys, begin = np.unique(self.key, return_index=True)
         self.begin = begin
         self.sid = np.arange(len(self.key)) - np.repeat(begin, np.diff(np.append(begin, len(self.key))))
 
+    def _equal(self, again: np.ndarray, at: np.ndarray, size: np.ndarray) -> bool:
+        """Whether the segments ``again`` have the bytes of those before them."""
+        step = 100_000  # some ten megabytes
+        for a in range(0, len(again), step):
+            k = again[a : a + step]
+            n = size[k]
+            if (n != size[k - 1]).any():
+                return False
+            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            if (self.pool[np.repeat(at[k], n) + inside] != self.pool[np.repeat(at[k - 1], n) + inside]).any():
+                return False
+        return True
+
     def texts(self) -> pa.Array:
         ends = np.cumsum(self.size)
         flat = self.pool[np.repeat(self.at - ends + self.size, self.size) + np.arange(int(self.size.sum()))]
@@ -509,6 +505,10 @@ def _match_block(rows: pa.Table, length: int, gram: int, block_bytes: int) -> pa
     order = np.lexsort((own, key))
     new = np.ones(len(order), bool)
     new[1:] = (key[order][1:] != key[order][:-1]) | (own[order][1:] != own[order][:-1])
+    if not all(segs[order[k]] == segs[order[k - 1]] for k in np.flatnonzero(~new).tolist()):
+        # Different segments share a hash: their bytes decide.
+        order = np.array(sorted(range(len(segs)), key=lambda k: (key[k], segs[k])))
+        new[1:] = [key[a] != key[b] or segs[a] != segs[b] for a, b in zip(order, order[1:])]
     distinct = order[new]  # a row of each distinct segment
     index = np.empty(len(order), np.int64)
     index[order] = np.cumsum(new) - 1
@@ -567,7 +567,7 @@ def _match_block(rows: pa.Table, length: int, gram: int, block_bytes: int) -> pa
 MATCH_ROWS = 40_000
 
 
-def _match(segments: DataFrame, length: int, gram: int, block_bytes: int) -> DataFrame:
+def _match(segments: DataFrame, tasks: int, length: int, gram: int, block_bytes: int) -> DataFrame:
     """(t, blob): windows a to b of the segment (key, mark, sid) start in a document of id m, the smallest."""
 
     def work(ts, tables):
@@ -590,7 +590,7 @@ def _match(segments: DataFrame, length: int, gram: int, block_bytes: int) -> Dat
             blobs = [_packed(**{c: v[x:y] for c, v in columns.items()}) for x, y in zip(edge, edge[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(who, pa.int64()), pa.array(blobs, pa.binary())], names=["t", "blob"])
 
-    return _by_part(segments, ("key", "mark", "sid", "lo", "hi", "seg"), work, "t bigint, blob binary")
+    return _by_part(segments, tasks, ("key", "mark", "sid", "lo", "hi", "seg"), work, "t bigint, blob binary")
 
 
 def _spans(docs: pa.Table, marks: pa.Table, texts: list[bytes], length: int, gram: int) -> dict[int, list[int]]:
@@ -643,9 +643,11 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
         raise ValueError("gram must be positive and at most length")
     if 2 * length - gram > 65535:
         raise ValueError("segments have 2 * length - gram bytes, 65,535 at most")
-    chunks, parts = _chunks(docs, key, text, chunk_bytes)
-    sent = _send(chunks, _wanted(_minimizers(chunks, length, gram, parts), hot), length, gram, parts)
-    return _remove(chunks, _match(sent, length, gram, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)
+    chunks, total = _chunks(docs, key, text, chunk_bytes)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    parts, tasks = max(cores, -(-total // BUCKET_BYTES)), max(cores, -(-total // TASK_BYTES))
+    sent = _send(chunks, _wanted(_minimizers(chunks, length, gram, parts), tasks, hot), length, gram, parts)
+    return _remove(chunks, _match(sent, tasks, length, gram, block_bytes), docs.schema[key].dataType.simpleString(), length, gram).withColumnRenamed("k", key)
 
 
 def op3_interval_expansion(spark, sf_dir: str) -> DataFrame:

@@ -144,3 +144,43 @@ def test_long_periodic_text(spark):
     compare(spark, rows, "doc_id long, text string")
     with pytest.raises(ValueError):
         sd.dedup(spark.createDataFrame(rows[:1], "doc_id long, text string"), length=40_000)
+
+
+def test_few_buckets_are_enough(spark):
+    """More chunks than Spark allows buckets."""
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(500))
+    rows = [(k, base[(a := rng.randrange(400)) : a + 90] + str(k) * 30) for k in range(60)]
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        compare(spark, rows, "doc_id long, text string", chunk_bytes=100)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
+def test_keys_must_be_integers(spark):
+    with pytest.raises(ValueError):
+        sd.dedup(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
+def test_segments_of_one_hash_are_compared_by_bytes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    import xxhash
+
+    rng = random.Random(4)
+    texts = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(20, 60))) for _ in range(40)]
+    monkeypatch.setattr(sd, "_mix", lambda x: x & np.uint64(3))
+    h = np.unique(np.concatenate([sd.anchors(sd.gram_hashes(np.frombuffer(b, np.uint8), 4), np.array([0, len(b)]), 8, 4)[0] for b in texts]))
+    found = sd._Segments(texts, h, 8, 4)
+    held = found.texts().to_pylist()
+    assert len(set(zip(found.key.tolist(), held))) == len(held)
+    for k, b in enumerate(held):
+        for r, p in zip(found.row[found.first[k] : found.first[k + 1]], found.place[found.first[k] : found.first[k + 1]]):
+            assert texts[r][p : p + len(b)] == b
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda b: len(b) % 2)
+    segs = [b"abcdefghi", b"bcdefghij", b"abcdefghi", b"zzzzzzzzz"]
+    n = len(segs)
+    rows = pa.table({"key": pa.array([1] * n), "mark": pa.array([1] * n), "t": pa.array(range(n)), "sid": pa.array([0] * n), "lo": pa.array([5, 3, 7, 1]), "hi": pa.array([5, 3, 7, 1]), "seg": pa.array(segs, pa.binary())})
+    got = sd._match_block(rows, 8, 4, 1000).to_pylist()
+    assert sorted((r["t"], r["a"], r["b"], r["m"]) for r in got) == [(0, 1, 2, 3), (2, 0, 1, 5), (2, 1, 2, 3)]
