@@ -8,9 +8,13 @@ candidates. With document frequencies over the whole corpus, a term t discloses
 
     PMI(t; e) = log2(N * df(t, e) / (df(t) * df(e)))   bits of   IC(e) = log2(N / df(e)),
 
-and it is sanitised in the documents that hold e if PMI >= DISCLOSURE * IC(e) and it was seen beside e in at
-least SUPPORT different contexts, so that copies of one passage are one piece of evidence. A sanitised term
-is generalised to its class: a number, a name (capitalised) or a word.
+and it is sanitised in the documents that hold e if PMI >= DISCLOSURE * IC(e): who knows the term then knows nearly
+all that names the entity. As most values stand in one document, that is mostly a word that hardly any other
+document has, such as a key or a name beside an address. With SUPPORT over 1 a term must be seen beside e in
+that many different contexts, so that copies of one passage are one piece of evidence. A sanitised term is
+generalised to its class: a number, a name (capitalised) or a word.
+
+Words are everywhere the runs between ASCII white space.
 
 Defined results: null and empty texts have no spans; repeated rows count each in the frequencies; an empty
 table gives an empty result; ``find`` ignores further columns and ``mask`` keeps them.
@@ -25,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh_name, map_rows, materialize
+from .common import fresh_name, map_rows, materialize, n_rows
 
 KINDS = ("email", "ip", "card", "phone", "term")
 CONTEXT = 5
-SUPPORT = 3
+SUPPORT = 1
 DISCLOSURE = 0.9
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -40,7 +44,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_EDGE = re.compile(r"^\W+|\W+$")
+_INNER = re.compile(r"\w")
 
 
 def luhn(digits: str) -> bool:
@@ -90,8 +94,20 @@ def base_spans(t: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _core(word: str) -> tuple[int, int]:
+    """(start, end) of a word without what is neither letter, digit nor underscore at its ends."""
+    m = _INNER.search(word)
+    if m is None:
+        return 0, 0
+    end = len(word)
+    while not (word[end - 1].isalnum() or word[end - 1] == "_"):
+        end -= 1
+    return m.start(), end
+
+
 def _term(word: str) -> str:
-    return _EDGE.sub("", word).casefold()
+    a, b = _core(word)
+    return word[a:b].casefold()
 
 
 def contexts(t: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, str]]:
@@ -145,39 +161,44 @@ def _evidence(docs: DataFrame, text: str) -> DataFrame:
     return map_rows(_keyed(docs, text), "h bigint, len int, e string, term string, context string", make)
 
 
-#: Terms whose document frequency is counted by a set held in each worker; more are counted by a join.
+#: Terms whose document frequency is counted by a set held in each worker; beyond that, a word is counted if it
+#: falls into one of _SLOTS slots that a term falls into, and what is counted is joined with the terms.
 _HELD_TERMS = 200_000
+_SLOTS = 1 << 22
 
 
 def _document_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFrame:
     """(term, df) for ``terms`` over all documents."""
-    if (n := terms.count()) <= _HELD_TERMS:
-        held = docs.sparkSession.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()) if n else frozenset())
-
-        def make():
-            want = held.value
-
-            def work(batch: pa.RecordBatch):
-                seen: dict[str, int] = {}
-                for t in _texts(batch, "t"):
-                    for term in {_term(w) for w in set(t.split())} & want:
-                        seen[term] = seen.get(term, 0) + 1
-                return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "df"])
+    spark, few = docs.sparkSession, terms.count() <= _HELD_TERMS
+    if few:
+        held = spark.sparkContext.broadcast(frozenset(r[0] for r in terms.collect()))
+    else:
+        slots = terms.select(F.pmod(F.xxhash64("term"), F.lit(_SLOTS)).cast("int").alias("s")).distinct().collect()  # _SLOTS at most
+        marks = bytearray(_SLOTS)
+        for r in slots:
+            marks[r[0]] = 1
+        held = spark.sparkContext.broadcast(bytes(marks))
+    n_slots = _SLOTS
 
-            return work
+    def make():
+        from xxhash import xxh64_intdigest
 
-        rows = map_rows(_keyed(docs, text).select("t"), "term string, df bigint", make)
-    else:
+        want = held.value
+        # Spark's xxhash64 is XXH64 with seed 42; a power of two divides signed and unsigned values alike.
+        wanted = want.__contains__ if few else lambda term: want[xxh64_intdigest(term.encode(), 42) % n_slots]
 
-        def make():
-            def work(batch: pa.RecordBatch):
-                out = [term for t in _texts(batch, "t") for term in {_term(w) for w in set(t.split())} if term]
-                return pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array([1] * len(out), pa.int64())], names=["term", "df"])
+        def work(batch: pa.RecordBatch):
+            seen: dict[str, int] = {}
+            for t in _texts(batch, "t"):
+                for term in {_term(w.decode()) for w in set(t.encode().split())}:  # bytes are split at ASCII white space
+                    if term and wanted(term):
+                        seen[term] = seen.get(term, 0) + 1
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "df"])
 
-            return work
+        return work
 
-        rows = map_rows(_keyed(docs, text).select("t"), "term string, df bigint", make).join(terms, "term", "left_semi")
-    return rows.groupBy("term").agg(F.sum("df").alias("df"))
+    rows = map_rows(_keyed(docs, text).select("t"), "term string, df bigint", make).groupBy("term").agg(F.sum("df").alias("df"))
+    return rows if few else rows.join(terms, "term", "left_semi")
 
 
 def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
@@ -198,7 +219,7 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("df_e"))
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("df_et") / (F.col("df") * F.col("df_e")))
     flagged = materialize(scored.select("e", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic"))), n)
-    terms = seen.select("h", "len", "e", "term").distinct().select("h", "len", "e").distinct().join(flagged.select("e", "term"), "e").groupBy("h", "len").agg(F.collect_set("term").alias("terms"))
+    terms = seen.select("h", "len", "e").distinct().join(flagged.select("e", "term"), "e").groupBy("h", "len").agg(F.collect_set("term").alias("terms"))
     return materialize(terms, n), flagged
 
 
@@ -212,8 +233,7 @@ def all_spans(t: str, terms: set[str]) -> list[tuple[str, int, int]]:
     for m in _WORD.finditer(t):
         word = m[0]
         if _term(word) in terms:
-            a = m.start() + len(word) - len(re.sub(r"^\W+", "", word))
-            b = m.end() - (len(word) - len(re.sub(r"\W+$", "", word)))
+            a, b = (m.start() + x for x in _core(word))
             while at < len(by_end) and by_end[at][1] <= a:
                 at += 1
             if a < b and not any(x < b and a < y for x, y in by_end[at:]):
@@ -225,15 +245,26 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+#: Texts with terms, at most, that are broadcast to all documents.
+_HELD_TEXTS = 200_000
+#: Every text with a base span has a match; others that have one are only joined in vain.
+_MAYBE = r"@[A-Za-z0-9-]+\.|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]|[0-9]([ -]?[0-9]){11}|\+[0-9]"
+
+
 def _with_terms(docs: DataFrame, text: str, mark: str, **params) -> DataFrame:
     """``docs`` plus ``mark``: the terms to sanitise in each text (null for most)."""
     terms, _ = disclosing_terms(docs, text, **params)
     h, n = fresh_name(docs, "h"), fresh_name(docs, "len")
     body = F.coalesce(F.col(text), F.lit(""))
-    # Few texts hold such terms; Spark broadcasts them by their size on disk, or else joins by hash.
-    out = docs.withColumn(h, F.xxhash64(body)).withColumn(n, F.length(body))
+    few = n_rows(terms) <= _HELD_TEXTS
     terms = terms.select(F.col("h").alias(h), F.col("len").alias(n), F.col("terms").alias(mark))
-    return out.join(terms, [h, n], "left").drop(h, n)
+    keyed = lambda df: df.withColumn(h, F.xxhash64(body)).withColumn(n, F.length(body))
+    if few:
+        return keyed(docs).join(F.broadcast(terms), [h, n], "left").drop(h, n)
+    # Only texts that can hold an entity are shuffled.
+    maybe = body.rlike(_MAYBE)
+    plain = docs.where(~maybe).withColumn(mark, F.lit(None).cast("array<string>"))
+    return plain.unionByName(keyed(docs.where(maybe)).join(terms, [h, n], "left").drop(h, n))
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", **params) -> DataFrame:

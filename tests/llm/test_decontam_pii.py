@@ -104,6 +104,8 @@ def test_base_spans_against_patterns():
 def test_long_runs_take_linear_time():
     for t in ("1" * 300_000, "a." * 200_000, "@" * 300_000, "1.1." * 100_000, "+1 " + "1 " * 200_000):
         pii.base_spans(t)
+    for w in ("." * 300_000 + "a" + "." * 300_000, "." * 600_000):
+        assert pii._term(w) == ("a" if "a" in w else "")
 
 
 @pytest.fixture(scope="module")
@@ -115,37 +117,119 @@ def leaky(spark):
     return rows
 
 
-def brute_terms(rows, support=pii.SUPPORT, disclosure=pii.DISCLOSURE):
-    n = len(rows)
-    contexts, df_t, df_e, df_et, holds = defaultdict(set), Counter(), Counter(), Counter(), []
-    for _, t in rows:
-        found = pii.contexts(t or "", pii.base_spans(t or ""))
-        for e, term, c in found:
-            contexts[e, term].add(c)
-        holds.append({e for e, _, _ in found})
-        df_e.update(holds[-1])
-        df_et.update({(e, term) for e, term, _ in found})
-        df_t.update({x for w in (t or "").split() if (x := pii._term(w))})
-    bad = defaultdict(set)
-    for (e, t), c in contexts.items():
-        ic = math.log2(n / df_e[e])
-        if len(c) >= support and ic > 0 and math.log2(n * df_et[e, t] / (df_t[t] * df_e[e])) >= disclosure * ic:
-            bad[e].add(t)
-    return [set().union(*(bad[e] for e in held)) if held else set() for held in holds]
+ASCII_SPACE = " \t\n\v\f\r"
+
+
+def brute_words(t):
+    """(start, end) of the words of a text, character by character."""
+    out, start = [], None
+    for i, c in enumerate(t + " "):
+        if c in ASCII_SPACE:
+            if start is not None:
+                out.append((start, i))
+            start = None
+        elif start is None:
+            start = i
+    return out
+
+
+def brute_core(t, a, b):
+    """The word without what is neither letter, digit nor underscore at its ends."""
+    while a < b and not re.match(r"\w", t[a]):
+        a += 1
+    while a < b and not re.match(r"\w", t[b - 1]):
+        b -= 1
+    return a, b
 
 
-def test_find_against_brute_force(spark, leaky):
-    got = pii.find(spark.createDataFrame(leaky, "doc_id long, text string")).collect()
+def brute_spans(rows, support=1, disclosure=0.9, width=5):
+    """All spans of each row, from sets of documents alone."""
+    n, cores, values, beside = len(rows), [], [], []
+    for _, t in rows:
+        t = t or ""
+        ws, base = brute_words(t), brute_base(t)
+        cores.append([(*brute_core(t, a, b), a, b) for a, b in ws])
+        inside = {k for k, (a, b) in enumerate(ws) for _, x, y in base if a < y and x < b}
+        mine = []
+        for kind, x, y in base:
+            value = t[x:y].casefold() if kind == "email" else t[x:y] if kind == "ip" else "".join(c for c in t[x:y] if c in "0123456789")
+            left = [k for k, (a, b) in enumerate(ws) if b <= x][-width:]
+            right = [k for k, (a, b) in enumerate(ws) if a >= y][:width]
+            near = [k for k in left + right if k not in inside]
+            context = tuple(t[slice(*ws[k])] for k in near)
+            mine.append(((kind, value), {t[slice(*brute_core(t, *ws[k]))].casefold() for k in near} - {""}, context))
+        values.append({e for e, _, _ in mine})
+        beside.append(mine)
+    in_text = [{(t or "")[a:b].casefold() for a, b, _, _ in c} for (_, t), c in zip(rows, cores)]
+    bad = defaultdict(set)
+    for e in set().union(*values):
+        holders = sum(e in v for v in values)
+        terms = set().union(*(ts for m in beside for x, ts, _ in m if x == e))
+        for term in terms:
+            both = sum(any(x == e and term in ts for x, ts, _ in m) for m in beside)
+            contexts = {c for m in beside for x, ts, c in m if x == e and term in ts}
+            ic, pmi = math.log2(n / holders), math.log2(n * both / (sum(term in w for w in in_text) * holders))
+            if ic > 0 and pmi >= disclosure * ic and len(contexts) >= support:
+                bad[e].add(term)
+    out = []
+    for (_, t), c, held in zip(rows, cores, values):
+        t = t or ""
+        base, terms = brute_base(t), set().union(*(bad[e] for e in held)) if held else set()
+        extra = [("term", a, b) for a, b, _, _ in c if a < b and t[a:b].casefold() in terms and not any(a < y and x < b for _, x, y in base)]
+        out.append(sorted(base + extra, key=lambda s: (s[1], ["email", "ip", "card", "phone", "term"].index(s[0]))))
+    return out
+
+
+def brute_masked(t, spans):
+    out, at = "", 0
+    for kind, a, b in spans:
+        if b > at:
+            if a >= at:
+                word = t[a]
+                out += t[at:a] + f"<{kind.upper() if kind != 'term' else 'NUMBER' if word.isdigit() else 'NAME' if word.isupper() else 'WORD'}>"
+            at = b
+    return out + t[at:]
+
+
+def joined(spans):
+    return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+
+
+@pytest.mark.parametrize("held", [200_000, 0])
+@pytest.mark.parametrize("support", [1, 3])
+def test_find_against_brute_force(spark, leaky, support, held, monkeypatch):
+    """With the sets held in workers, and with what takes their place when they grow too large."""
+    monkeypatch.setattr(pii, "_HELD_TERMS", held)
+    monkeypatch.setattr(pii, "_HELD_TEXTS", held)
+    monkeypatch.setattr(pii, "_SLOTS", 64 if held == 0 else 1 << 22)
+    got = pii.find(spark.createDataFrame(leaky, "doc_id long, text string"), support=support).collect()
     want = Counter()
-    for (i, t), terms in zip(leaky, brute_terms(leaky)):
-        spans = pii.all_spans(t or "", terms)
+    for (i, t), spans in zip(leaky, brute_spans(leaky, support)):
         base = [s for s in spans if s[0] != "term"]
-        assert base == brute_base(t or "")
-        want[(i, *(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")), hashlib.sha256(pii.joined(base).encode()).hexdigest(), pii.joined(spans))] += 1
-    assert Counter(tuple(r[:7]) for r in got) == want
+        want[(i, *(sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(spans) - len(base))] += 1
+    assert Counter(tuple(r) for r in got) == want
     assert any("term:" in r["spans"] for r in got)
 
 
+def test_words_end_at_ascii_white_space(spark):
+    """A term counts where it is marked: what other white space joins is another word."""
+    for glue in ("\u00a0", "\u3000", "\x85", "\x1c", "/"):
+        rows = [(i, f"a{i} secretx wrote to boss@corp.example about b{i}") for i in range(6)]
+        rows += [(10 + i, f"some secretx{glue}filler and other words {i}") for i in range(30)] + [(50 + i, f"nothing here {i}") for i in range(9)]
+        got = {r["doc_id"]: r["spans"] for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string"), support=3).collect()}
+        want = {i: joined(s) for (i, _), s in zip(rows, brute_spans(rows, 3))}
+        assert got == want and "term:" in got[0], repr(glue)
+
+
+def test_prefilter_misses_no_base_span():
+    rng = random.Random(7)
+    maybe = re.compile(pii._MAYBE)
+    for alphabet in ("ab@.-+1 ", "0123.. -", "+12 (). -@a", "4 1-"):
+        for _ in range(4000):
+            t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(60)))
+            assert not brute_base(t) or maybe.search(t), t
+
+
 def test_mask(spark, leaky, docs, rows, empty):
     df = spark.createDataFrame([(i, t, None if t is None else len(t), "k") for i, t in leaky], "doc_id long, text string, n_chars long, terms string")
     out = pii.mask(df)

@@ -5,10 +5,9 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline
-from tessera.llm import pii
 from tessera.llm.common import materialize
 
-from .test_decontam_pii import brute_hits, brute_terms
+from .test_decontam_pii import brute_hits, brute_masked, brute_spans
 from .test_native import measures, rejected
 from .test_packing_classifier import check_packing, reference  # noqa: F401
 from .test_simhash import brute_keep, kept_pairs
@@ -46,7 +45,7 @@ def test_stages(spark, sf_dir, reference):  # noqa: F811
             want = Counter(x for x in before if not brute_hits(x[1], bench)[1])
             assert sum(want.values()) < len(before)
         else:
-            want = Counter((i, None if t is None else pii.masked(t, pii.all_spans(t, terms))) for (i, t), terms in zip(before, brute_terms(before)))
+            want = Counter((i, None if t is None else brute_masked(t, spans)) for (i, t), spans in zip(before, brute_spans(before)))
         assert after == want, name
 
 
