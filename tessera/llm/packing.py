@@ -6,8 +6,9 @@ others are dealt into blocks of about BLOCK_ITEMS pieces, and of a block only th
 search, so a block is some tens of kilobytes whatever the texts are.
 
 Search: an individual is a partition of a block into bins. Crossover injects whole well-filled bins of one
-parent into the other, removes the bins that then hold a piece twice, and best-fits the displaced pieces in
-falling length. Every block evolves on ISLANDS islands with seeds of their own; after each epoch the elite
+parent into the other, removes the bins that then hold a piece twice, and best-fits the displaced pieces: in
+falling length, or up to three at a time that together leave least room, which bit sets of lengths find at once.
+The first individuals are best fit decreasing, that completion, and shaken orders. Every block evolves on ISLANDS islands with seeds of their own; after each epoch the elite
 of an island migrates to the next one in the ring. A block is finished when it reaches a lower bound or
 after EPOCHS epochs. Then the bins that are not nearly full are dissolved, and their pieces, gathered from
 all blocks, are packed again in fewer blocks, until one block holds what is left.
@@ -35,8 +36,10 @@ END_ID = 2
 BLOCK_ITEMS = 16_384
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 6
-POPULATION = 4
+GENERATIONS = 30
+POPULATION = 6
+#: Tasks of the search, at most; each takes whole (block, island) pairs.
+_MOST_TASKS = 50_000
 #: A bin with less room than this stays as it is when the others are dissolved.
 NEARLY_FULL = 4
 _ROUNDS = 6
@@ -162,29 +165,127 @@ class _Bins:
                 self.add([i], n)
 
 
+class _Stock:
+    """Pieces by length, with bit sets of the lengths there are and of what they leave of a sequence."""
+
+    def __init__(self, items: list[int], lengths: list[int], size: int):
+        self.size, self.n = size, len(items)
+        self.by: dict[int, list[int]] = {}
+        for i in items:
+            self.by.setdefault(lengths[i], []).append(i)
+        self.has = sum(1 << n for n in self.by)
+        self.mirror = sum(1 << (size - n) for n in self.by)
+
+    def take(self, n: int) -> int:
+        held = self.by[n]
+        self.n -= 1
+        if len(held) == 1:
+            del self.by[n]
+            self.has ^= 1 << n
+            self.mirror ^= 1 << (self.size - n)
+        return held.pop()
+
+    def largest(self, room: int) -> int:
+        return (self.has & ((2 << room) - 1)).bit_length() - 1
+
+    def _two(self, total: int, most: int) -> tuple[int, int] | None:
+        """Two lengths of sum ``total``, the larger as large as can be up to ``most``."""
+        both = self.has & (self.mirror >> (self.size - total)) & ((2 << most) - 1)
+        while both:
+            n = both.bit_length() - 1
+            if 2 * n < total:
+                return None
+            if 2 * n > total or len(self.by[n]) > 1:
+                return n, total - n
+            both ^= 1 << n
+        return None
+
+    def exact(self, total: int, tries: int) -> tuple[int, ...] | None:
+        """Up to three lengths of sum ``total``; of triples those with one of the ``tries`` largest lengths are looked at."""
+        if self.has >> total & 1:
+            return (total,)
+        if two := self._two(total, total):
+            return two
+        low = self.has & ((1 << total) - 1)
+        for _ in range(tries):
+            n = low.bit_length() - 1
+            if 3 * n < total:
+                return None
+            if two := self._two(total - n, n):
+                if (n, *two).count(n) <= len(self.by[n]):
+                    return n, *two
+            low ^= 1 << n
+        return None
+
+    def fill(self, room: int) -> list[int]:
+        """Pieces for ``room``, taken out: three or fewer that leave hardly any, after the largest as long as there are none."""
+        out: list[int] = []
+        while self.n and room and (n := self.largest(room)) > 0:
+            for left in range(min(_SLACK, room - 1) + 1):
+                if found := self.exact(room - left, _TRIES if left < 2 else 0):
+                    return out + [self.take(x) for x in found]
+            out.append(self.take(n))
+            room -= n
+        return out
+
+
+#: Room that a completed bin may keep, and lengths tried as the largest of three.
+_SLACK, _TRIES = 8, 10
+
+
+def _complete(bins: _Bins, order: list[int], lengths: list[int], rng: random.Random) -> _Bins:
+    """Best fit by several pieces at a time: the rooms of ``bins`` are filled as exactly as can be, then new bins."""
+    stock, out = _Stock(order, lengths, bins.size), _Bins(bins.size)
+    for k in sorted((k for k, r in enumerate(bins.room) if r), key=lambda k: (bins.room[k], rng.random())):
+        r = bins.room[k]
+        for left in range(min(_SLACK, r - 1) + 1):
+            if found := stock.exact(r - left, _TRIES if left < 2 else 0) if stock.n else None:
+                bins.items[k] += [stock.take(x) for x in found]
+                bins.room[k] = left
+                break
+    for items, r in zip(bins.items, bins.room):
+        out.add(items, bins.size - r)
+    left = []
+    while stock.n:
+        n = stock.largest(bins.size)
+        items = [stock.take(n), *stock.fill(bins.size - n)]
+        filled = sum(lengths[i] for i in items)
+        if stock.n:
+            out.add(items, filled)
+        else:
+            left = items  # the last bin's pieces may fit beside others
+    out.fit(sorted(left), lengths)
+    return out
+
+
 def _cost(bins: _Bins) -> tuple[int, int]:
     """Fewer bins first, then the fuller ones: Falkenauer's square measure."""
     return len(bins.items), -sum((bins.size - r) ** 2 for r in bins.room)
 
 
 def _cross(a: _Bins, b: _Bins, lengths: list[int], rng: random.Random) -> _Bins:
-    """A child with well-filled bins of ``b`` injected into ``a``."""
+    """A child with well-filled bins of ``b`` injected into ``a``; what is displaced goes where it fits best, one by one or by several."""
     ranked = sorted(range(len(b.items)), key=lambda k: (b.room[k], rng.random()))
-    inject = [k for k in ranked[: max(1, len(ranked) * 2 // 3)] if rng.random() < 0.7]
-    child, taken = _Bins(a.size), set()
+    share = rng.choice((0.3, 0.7, 0.95))
+    inject = [k for k in ranked[: max(1, len(ranked) * 2 // 3)] if rng.random() < share]
+    child, taken = _Bins(a.size), bytearray(len(lengths))
     for k in inject:
         child.add(list(b.items[k]), b.size - b.room[k])
-        taken.update(b.items[k])
+        for i in b.items[k]:
+            taken[i] = 1
     displaced = []
+    keep = rng.choice((0.0, 0.3, 0.7))
     for items, room in zip(a.items, a.room):
-        kept = [i for i in items if i not in taken]
-        if len(kept) == len(items) and (room <= NEARLY_FULL or rng.random() < 0.5):
+        kept = [i for i in items if not taken[i]]
+        if len(kept) == len(items) and (room == 0 or rng.random() < (0.9 if room <= NEARLY_FULL else keep)):
             child.add(list(items), a.size - room)
         else:
             displaced += kept
     displaced.sort()  # items are numbered in falling length
-    child.fit(displaced, lengths)
-    return child
+    if rng.random() < 0.25:
+        child.fit(displaced, lengths)
+        return child
+    return _complete(child, displaced, lengths, rng)
 
 
 def _from_labels(labels: list[int], lengths: list[int], size: int) -> _Bins:
@@ -214,6 +315,7 @@ def evolve(lengths: list[int], elites: list[list[int]], seed: int, size: int = S
     first.fit(list(range(n)), lengths)
     pop.append(first)
     if len(first.items) > bound:
+        pop.append(_complete(_Bins(size), list(range(n)), lengths, rng))
         while len(pop) < population:
             # Falling order, each length shaken a little: other near-perfect pairs are found first.
             shaken = sorted(range(n), key=lambda i: -lengths[i] * (1 + 0.06 * rng.random()))
@@ -236,7 +338,7 @@ def evolve(lengths: list[int], elites: list[list[int]], seed: int, size: int = S
 _EVOLVED = "block bigint, island int, lengths array<int>, labels array<int>, n_bins int, squares bigint, done boolean"
 
 
-def _epoch(islands: DataFrame, epoch: int, size: int, generations: int, population: int) -> DataFrame:
+def _epoch(islands: DataFrame, tasks: int, epoch: int, size: int, generations: int, population: int) -> DataFrame:
     """One epoch of every island: (block, island, lengths, elites) to its best individual."""
 
     def make():
@@ -251,7 +353,9 @@ def _epoch(islands: DataFrame, epoch: int, size: int, generations: int, populati
 
         return work
 
-    return map_rows(islands.repartition("block", "island"), _EVOLVED, make)
+    # A stated number of partitions: by their bytes, which say nothing of the work, they would be joined to one.
+    dealt = islands.repartitionByRange(tasks, "block", "island")
+    return map_rows(dealt, _EVOLVED, make)
 
 
 def _search(blocks: DataFrame, n_blocks: int, size: int, islands: int, epochs: int, generations: int, population: int) -> DataFrame:
@@ -259,7 +363,7 @@ def _search(blocks: DataFrame, n_blocks: int, size: int, islands: int, epochs: i
     found = None
     at = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), "lengths", F.expr("CAST(array() AS array<array<int>>)").alias("elites"))
     for epoch in range(epochs):
-        each = materialize(_epoch(at, epoch, size, generations, population), n_blocks * islands)
+        each = materialize(_epoch(at, min(n_blocks * islands, _MOST_TASKS), epoch, size, generations, population))
         best = each.groupBy("block").agg(
             F.min_by("labels", F.struct("n_bins", "squares", "island")).alias("labels"),
             F.max("done").alias("done"),

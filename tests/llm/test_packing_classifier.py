@@ -1,3 +1,4 @@
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -93,6 +94,50 @@ def test_bound_and_search_against_exact():
         assert least <= len(best.items) <= least + 1
 
 
+@pytest.mark.parametrize("lo, hi, n, most", [(150, 600, 1500, 0.99), (250, 500, 1500, 0.97), (100, 400, 1500, 0.99), (20, 700, 4000, 1.0)])
+def test_search_beats_best_fit(lo, hi, n, most):
+    """Bins against best fit decreasing, on lengths where that is not the best; the default search of one island."""
+    rng = random.Random(lo)
+    lengths = sorted((rng.randint(lo, hi) for _ in range(n)), reverse=True)
+    first = pk._Bins()
+    first.fit(list(range(n)), lengths)
+    best = pk.evolve(lengths, [], 1)
+    assert sorted(i for b in best.items for i in b) == list(range(n))
+    assert all(sum(lengths[i] for i in b) + r == 1024 and r >= 0 for b, r in zip(best.items, best.room))
+    assert pk.lower_bound(np.array(lengths)) <= len(best.items) <= most * len(first.items)
+    again = pk.evolve(lengths, [pk._labels(best, n)], 2)  # an elite that migrates is never lost
+    assert pk._cost(again) <= pk._cost(best)
+
+
+def test_stock_finds_sums():
+    rng = random.Random(2)
+    for _ in range(500):
+        lengths = [rng.randint(1, 40) for _ in range(rng.randint(1, 8))]
+        total = rng.randint(1, 64)
+        got = pk._Stock(list(range(len(lengths))), lengths, 64).exact(total, 64)
+        sums = {sum(c) for k in (1, 2, 3) for c in itertools.combinations(lengths, k)}
+        assert (got is not None) == (total in sums), (lengths, total, got)
+        if got is not None:
+            assert sum(got) == total and not Counter(got) - Counter(lengths)
+
+
+def test_islands_and_migration(spark):
+    """Elites of the ring reach the next epoch; a search over many blocks runs as many tasks as there are islands."""
+    rng = random.Random(4)
+    blocks = [(b, sorted((rng.randint(250, 500) for _ in range(60)), reverse=True)) for b in range(5)]
+    df = spark.createDataFrame(blocks, "block long, lengths array<int>")
+    at = df.select("block", F.explode(F.array(F.lit(0), F.lit(1))).alias("island"), "lengths", F.expr("CAST(array() AS array<array<int>>)").alias("elites"))
+    one = pk._epoch(at, 10, 0, 1024, 2, 4)
+    assert one.rdd.getNumPartitions() == 10 and one.count() == 10
+    best = {}
+    for r in one.collect():
+        best[r["block"]] = min((r["n_bins"], r["squares"]), best.get(r["block"], (999, 0)))
+    got = {r["block"]: r["labels"] for r in pk._search(df, 5, 1024, 2, 2, 2, 4).collect()}
+    for b, lengths in blocks:
+        bins = pk._from_labels(got[b], lengths, 1024)
+        assert pk._cost(bins) <= best[b] and len(bins.items) >= pk.lower_bound(np.array(lengths))
+
+
 def test_crossover_keeps_each_item_once():
     rng = random.Random(1)
     lengths = sorted((rng.randint(1, 900) for _ in range(300)), reverse=True)
