@@ -1,8 +1,8 @@
 """Quality classifier: naive Bayes support vectors (NB-SVM) over n-gram indicators.
 
-Features of a text are indicators, hashed into 2**HASH_BITS slots: byte trigrams of the lower-cased text as
-it is, and n-grams (1 to 3) of word patterns, where a word's pattern is the class of its first, second and
-last byte and whether it equals the word before. Each indicator is scaled by its class log-count ratio
+Features of a text are indicators, hashed into 2**HASH_BITS slots: words and pairs of words, lower-cased; byte
+trigrams of the lower-cased text as it is; and n-grams (1 to 3) of word patterns, where a word's pattern is the
+class of its first, second and last byte and whether it equals the word before. Each indicator is scaled by its class log-count ratio
 r = log((p / |p|) / (q / |q|)), and a linear hinge-loss model is fitted on the scaled indicators by dual
 coordinate descent. Rows are brought to unit length of their indicators, so long texts are not louder.
 A logistic curve, fitted on training rows kept aside from the descent, turns the margin into a score.
@@ -32,7 +32,7 @@ from .common import map_rows
 TRAIN_ROWS = 6_000
 HASH_BITS = 18
 #: Smoothing of the class counts, weight of a row's loss, passes of the descent.
-ALPHA, COST, PASSES = 1.0, 1.0, 12
+ALPHA, COST, PASSES = 1.0, 1.0, 40
 GOOD_FROM = 0.7
 #: Bytes whose features are taken at a time; the indicators of the parts are united.
 _PART = 1 << 20
@@ -50,6 +50,13 @@ def _slots(x: np.ndarray, salt: int) -> np.ndarray:
         return ((x.astype(np.uint64) + np.uint64(salt << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - HASH_BITS)
 
 
+_ODD = np.int64(0x2545F4914F6CDD1D)
+
+
+def _word_hash(word: bytes) -> int:
+    return zlib.crc32(word) << 17 ^ zlib.adler32(word)
+
+
 def features(text: bytes) -> np.ndarray:
     """Sorted distinct slots of a text's indicators."""
     out, low = [], text.lower()
@@ -58,6 +65,10 @@ def features(text: bytes) -> np.ndarray:
         out.append(np.unique(_slots(b[:-2] << 16 | b[1:-1] << 8 | b[2:], 1)))
     words = text.split()
     if words:
+        known = np.fromiter(map(_word_hash, low.split()), np.uint64, len(words)).view(np.int64)
+        out.append(np.unique(_slots(np.unique(known), 11)))
+        if len(known) > 1:
+            out.append(np.unique(_slots(np.unique(known[:-1] * _ODD + known[1:]), 12)))
         same = np.fromiter((x == y for x, y in zip(words, [b"", *words])), np.int64, len(words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         flat = np.frombuffer(b"".join(words) + b" ", np.uint8)
@@ -74,29 +85,30 @@ def features(text: bytes) -> np.ndarray:
 
 
 def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Weights (times ``scale``) and intercept of the squared-hinge model; y is -1 or 1.
+    """Weights (times ``scale``) and intercept of the hinge-loss model; y is -1 or 1.
 
-    One dual variable a row, visited in a shuffled order; the intercept is a further feature of value 1.
+    Minimises (|w|^2 + b^2) / 2 + cost * sum(max(0, 1 - y (w x + b))) by its dual: one variable a row between 0 and
+    ``cost``, visited in a shuffled order until no step is larger than a thousandth; the intercept is a further
+    feature of value 1.
     """
     w, bias, n = np.zeros(len(scale)), 0.0, len(rows)
     values = [scale[r] / np.sqrt(max(len(r), 1)) for r in rows]
-    diagonal = 1 / (2 * cost)
-    norms = np.array([v @ v for v in values]) + 1 + diagonal
+    norms = np.array([v @ v for v in values]) + 1
     alpha, order, rng = np.zeros(n), np.arange(n), np.random.default_rng(seed)
     for _ in range(passes):
         rng.shuffle(order)
         most = 0.0
         for i in order:
             r, v = rows[i], values[i]
-            gradient = y[i] * (w[r] @ v + bias) - 1 + alpha[i] * diagonal
-            new = max(alpha[i] - gradient / norms[i], 0.0)
+            gradient = y[i] * (w[r] @ v + bias) - 1
+            new = min(max(alpha[i] - gradient / norms[i], 0.0), cost)
             step = (new - alpha[i]) * y[i]
             if step:
                 w[r] += step * v
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
-        if most < 1e-3:
+        if most < 1e-3 * cost:
             break
     return w * scale, bias
 

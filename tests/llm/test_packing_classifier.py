@@ -196,3 +196,40 @@ def test_descent_separates():
     y = np.array([1.0, -1.0] * 10)
     w, b = cl.descend(rows, y, np.array([1.0, 1.0, -1.0, -1.0]))
     assert all(np.sign(cl.margin(r, w, b)) == s for r, s in zip(rows, y))
+
+
+def test_descent_against_another_solver():
+    """The hinge-loss model against projected gradient steps on its dual, and its own duality gap."""
+    rng = np.random.default_rng(3)
+    for cost in (0.1, 1.0, 5.0):
+        rows = [np.unique(rng.integers(0, 30, rng.integers(1, 12))).astype(np.int32) for _ in range(60)]
+        y = np.where(rng.random(60) < 0.5, 1.0, -1.0)
+        scale = rng.normal(0, 2, 30)
+        x = np.zeros((60, 31))
+        for k, r in enumerate(rows):
+            x[k, r] = scale[r] / np.sqrt(len(r))
+        x[:, 30] = 1.0
+        gram = (x * y[:, None]) @ (x * y[:, None]).T
+        alpha, step = np.zeros(60), 1 / np.linalg.eigvalsh(gram)[-1]
+        for _ in range(40_000):
+            alpha = np.clip(alpha - step * (gram @ alpha - 1), 0, cost)
+        want = (alpha * y) @ x
+        w, b = cl.descend(rows, y, scale, cost, 3000)
+        got = np.append(np.divide(w, scale), b)
+        primal = lambda v: 0.5 * v @ v + cost * np.maximum(0, 1 - y * (x @ v)).sum()  # noqa: B023, E731
+        best = alpha.sum() - 0.5 * alpha @ gram @ alpha
+        assert primal(want) - best < 1e-3 * best and abs(primal(got) - best) < 5e-3 * best
+        assert np.abs(got - want).max() < 0.05 * max(1, np.abs(want).max())
+
+
+def test_features_of_long_texts(monkeypatch):
+    """Parts of a long text give the indicators of the whole, and indicators are those counted by hand."""
+    text = (b"Some Words and 123 more! words, twice twice. \xc3\xa9t\xc3\xa9 " * 60)[:-1]
+    whole = cl.features(text).tolist()
+    monkeypatch.setattr(cl, "_PART", 7)
+    assert cl.features(text).tolist() == whole
+    low = text.lower()
+    tri = {int(cl._slots(np.array([low[i] << 16 | low[i + 1] << 8 | low[i + 2]]), 1)[0]) for i in range(len(low) - 2)}
+    words = low.split()
+    one = {int(cl._slots(np.array([cl._word_hash(w)], np.int64), 11)[0]) for w in words}
+    assert tri | one <= set(whole) and cl.features(b"").tolist() == [] and len(cl.features(b"x")) > 0
