@@ -84,12 +84,12 @@ def features(text: bytes) -> np.ndarray:
     return np.unique(np.concatenate(out)).astype(np.int32) if out else np.zeros(0, np.int32)
 
 
-def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7) -> tuple[np.ndarray, float]:
+def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: float = COST, passes: int = PASSES, seed: int = 7, tolerance: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights (times ``scale``) and intercept of the hinge-loss model; y is -1 or 1.
 
     Minimises (|w|^2 + b^2) / 2 + cost * sum(max(0, 1 - y (w x + b))) by its dual: one variable a row between 0 and
-    ``cost``, visited in a shuffled order until no step is larger than a thousandth; the intercept is a further
-    feature of value 1.
+    ``cost``, visited in a shuffled order until no step is larger than ``tolerance * cost``; the intercept is a
+    further feature of value 1.
     """
     w, bias, n = np.zeros(len(scale)), 0.0, len(rows)
     values = [scale[r] / np.sqrt(max(len(r), 1)) for r in rows]
@@ -108,7 +108,7 @@ def descend(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, cost: floa
                 bias += step
                 most = max(most, abs(new - alpha[i]))
                 alpha[i] = new
-        if most < 1e-3 * cost:
+        if most < tolerance * cost:
             break
     return w * scale, bias
 
