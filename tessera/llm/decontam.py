@@ -7,9 +7,11 @@ its prefix: a document that contains the window contains that shingle, so only p
 occurs are looked at. Length and place bounds then drop places where no whole window can fit, and the match
 is verified by comparing words outwards, which finds every window around the place at once.
 
-The benchmark is the stated query set: its items are taken in blocks of at most BLOCK_BYTES of text, and only
-a block's index travels to the executors. With several blocks the documents are passed through once a block
-and carry what was found so far.
+The benchmark is the stated query set. One pass over the documents counts the shingles of all items, in a table of
+fixed size: a shingle's count is that of its slot, which is its own or larger, and any order finds the same windows.
+Items are then taken in blocks of at most BLOCK_BYTES of text: the driver holds a block, and its index travels to
+the executors. One block needs one more pass. For several, the documents are written once with a row number; each
+block is a pass that writes the rows with a hit, and a last pass joins these: passes grow with the blocks alone.
 
 Defined results: null and empty texts have no words; items without words match nothing; rows with the same
 item_id count as one item, and a null item_id is listed as the empty string; repeated documents are judged
@@ -20,18 +22,26 @@ one by one; an empty benchmark leaves every document clean; further columns are
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter, defaultdict
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, opened, ship
+from .common import discard, fresh_name, map_rows, materialize, opened, ship
 
 WINDOW = 10
 SHINGLE = 3
-#: Text bytes of the items indexed at a time; their index takes some twenty times as much in each Python worker.
+#: UTF-8 bytes of the items indexed at a time; their index takes some twenty times as much in each Python worker.
 BLOCK_BYTES = 4_000_000
+#: Slots of the table of shingle counts, a power of two.
+SLOTS = 1 << 22
+#: Words whose slot a worker remembers.
+_HELD_WORDS = 1_000_000
+#: Tables of hits that are joined to one.
+_TABLES = 64
 
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -43,14 +53,15 @@ def words_of(text: bytes) -> list[bytes]:
 def _blocks(benchmark: DataFrame, item: str, text: str):
     """Lists of (item id as string, words), each of at most BLOCK_BYTES of text; larger single items are alone."""
     block, size = [], 0
-    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator(prefetchPartitions=True):
-        words = words_of((row[1] or "").encode())
+    for row in benchmark.select(F.col(item).cast("string"), F.col(text)).toLocalIterator():
+        body = (row[1] or "").encode()
+        words = words_of(body)
         if words:
-            if block and size + len(row[1]) > BLOCK_BYTES:
+            if block and size + len(body) > BLOCK_BYTES:
                 yield block
                 block, size = [], 0
             block.append((row[0] or "", words))
-            size += len(row[1])
+            size += len(body)
     if block:
         yield block
 
@@ -60,41 +71,76 @@ def _shingles(words: list[bytes]) -> list[tuple]:
     return [tuple(words[i : i + width]) for i in range(len(words) - width + 1)]
 
 
+def _slot(words: list[bytes] | tuple, slots: int) -> int:
+    return zlib.crc32(b" ".join(words)) & (slots - 1)
+
+
 def _texts(batch: pa.RecordBatch, name: str):
     for t in batch.column(batch.schema.get_field_index(name)).cast(pa.binary()):
         yield t.as_py() or b""
 
 
-def _corpus_counts(docs: DataFrame, text: str, wanted: set[tuple]) -> dict[tuple, int]:
-    """How often each of ``wanted`` occurs in all documents; the result is no larger than the block's index."""
-    widths = sorted({len(s) for s in wanted})
-    first = {s[0] for s in wanted}
+def _corpus_counts(docs: DataFrame, text: str, benchmark: DataFrame, item_text: str) -> dict[int, int]:
+    """How often shingles fall into each slot of the benchmark's shingles, over all documents: SLOTS numbers at most.
+
+    Slots of first words, a table of the same size, tell at once where no shingle of the benchmark begins.
+    """
+    spark, slots = docs.sparkSession, SLOTS
+
+    def of_items(batches):
+        seen = set()
+        for batch in batches:
+            for t in _texts(batch, item_text):
+                for s in _shingles(words_of(t)):
+                    seen.add((_slot(s, slots), len(s)))
+                    seen.add((_slot(s[:1], slots), 0))
+        rows = sorted(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.int32())], names=["slot", "width"])
+
+    known = benchmark.select(item_text).mapInArrow(of_items, "slot int, width int").groupBy("width").agg(F.collect_set("slot").alias("slots")).collect()
+    if not known:
+        return {}
+    marks = {}
+    for r in known:  # a row a width, 0 for first words
+        marks[r["width"]] = bytearray(slots)
+        for s in r["slots"]:
+            marks[r["width"]][s] = 1
+    held = ship(spark, {k: bytes(v) for k, v in marks.items()})
 
     def run(batches):
+        own = opened(held)
+        first, widths = own[0], [(k, m) for k, m in sorted(own.items()) if k]
+        begins: dict[bytes, int] = {}
         seen: Counter = Counter()
         for batch in batches:
             for t in _texts(batch, text):
                 w = words_of(t)
-                at = [i for i, x in enumerate(w) if x in first]
-                for k in widths:
-                    seen.update(s for i in at if (s := tuple(w[i : i + k])) in wanted)
-        yield pa.RecordBatch.from_arrays([pa.array([b" ".join(s) for s in seen], pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
+                if len(begins) > _HELD_WORDS:
+                    begins.clear()
+                for x in set(w).difference(begins):
+                    begins[x] = first[zlib.crc32(x) & (slots - 1)]
+                for i in [i for i, x in enumerate(w) if begins[x]]:
+                    for k, m in widths:
+                        s = zlib.crc32(b" ".join(w[i : i + k])) & (slots - 1)
+                        if m[s]:
+                            seen[s] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["s", "n"])
 
-    rows = docs.select(text).mapInArrow(run, "s binary, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
-    return {tuple(bytes(r["s"]).split(b" ")): r["n"] for r in rows}
+    rows = docs.select(text).mapInArrow(run, "s int, n bigint").groupBy("s").agg(F.sum("n").alias("n")).collect()
+    return {r["s"]: r["n"] for r in rows}
 
 
 class _Index:
     """Prefix shingles of a block's windows, each with its places in the items."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[tuple, int]):
+    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[int, int]):
         self.items = items
         self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for k, (_, words) in enumerate(items):
             sh = _shingles(words)
             size = min(WINDOW, len(words))
             each = size - len(sh[0]) + 1
-            ranked = [(counts.get(s, 0), s, i) for i, s in enumerate(sh)]
+            ranked = [(counts.get(_slot(s, SLOTS), 0), s, i) for i, s in enumerate(sh)]
             for i in sorted({min(ranked[a : a + each])[2] for a in range(len(words) - size + 1)}):
                 self.places[sh[i]].append((k, i))
         self.first = {s[0] for s in self.places}
@@ -144,45 +190,79 @@ _FOUND = pa.struct([("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("i
 def find_windows(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", mark: str = "found", keep_text: bool = True, clean_only: bool = False) -> DataFrame:
     """``docs`` with a column ``mark``: n_words, the hit runs flattened to (start, end, ...) and the item ids, sorted.
 
-    With ``clean_only`` the rows with a hit are left out as soon as they are known.
+    With ``clean_only`` the rows with a hit are left out.
     """
-    blocks = list(_block_stream(benchmark, item, item_text)) or [[]]
-    for at, block in enumerate(blocks):
-        wanted = {s for _, words in block for s in _shingles(words)}
-        index = ship(docs.sparkSession, _Index(block, _corpus_counts(docs, text, wanted) if wanted else {}))
-        last = at + 1 == len(blocks)
-        fields = [f for f in docs.schema.fields if f.name != mark and (f.name != text or keep_text or not last)]
-        names = [f.name for f in fields]
-        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{mark}` struct<n_words: bigint, runs: array<bigint>, items: array<string>>"])
-        docs = map_rows(docs, schema, _scanner(index, names, text, mark, clean_only))
-    return docs
+    spark = docs.sparkSession
+    size = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    counts = _corpus_counts(docs, text, benchmark, item_text)
+    fields = [f for f in docs.schema.fields if f.name != mark and (f.name != text or keep_text)]
+    if size <= BLOCK_BYTES:
+        index = ship(spark, _Index(next(_blocks(benchmark, item, item_text), []), counts))
+        return _marked(docs, fields, text, mark, clean_only, index)
+    row, before = fresh_name(docs, "row"), fresh_name(docs, "before")
+    docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    hits: list[DataFrame] = []
+    for block in _blocks(benchmark, item, item_text):
+        index = ship(spark, _Index(block, counts))
+        del block
+        hits.append(materialize(_hits(docs, row, text, index)))
+        index.unpersist()
+        if len(hits) == _TABLES:
+            together = materialize(reduce(DataFrame.unionByName, hits))
+            discard(*hits)
+            hits = [together]
+    found = reduce(DataFrame.unionByName, hits).groupBy(row).agg(F.struct(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")).alias(before))
+    return _marked(docs.join(found, row, "left"), fields, text, mark, clean_only, None, before)
+
+
+_MARK = "struct<n_words: bigint, runs: array<bigint>, items: array<string>>"
+
+
+def _hits(docs: DataFrame, row: str, text: str, index) -> DataFrame:
+    """(row, runs, items) for the rows with a window of the block."""
 
+    def make():
+        own = opened(index)
 
-def _block_stream(benchmark, item, text):
-    return _blocks(benchmark, item, text)
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+            at, runs, items = [], [], []
+            for k, t in zip(batch.column(batch.schema.get_field_index(row)).to_pylist(), _texts(batch, text)):
+                found, ids = own.find(words_of(t))
+                if found:
+                    at.append(k)
+                    runs.append([x for r in _merge(found) for x in r])
+                    items.append(sorted(ids))
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(runs, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], names=[row, "runs", "items"])
 
+        return work
+
+    return map_rows(docs.select(row, text), f"`{row}` bigint, runs array<bigint>, items array<string>", make)
+
+
+def _marked(docs: DataFrame, fields: list, text: str, mark: str, clean_only: bool, index=None, before: str | None = None) -> DataFrame:
+    """``fields`` of ``docs`` and ``mark``, from the windows of ``index`` or from the hits in the column ``before``."""
+    names = [f.name for f in fields]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [f"`{mark}` {_MARK}"])
 
-def _scanner(index, names, text, mark, clean_only):
     def make():
-        own = opened(index)
+        own = opened(index) if index is not None else None
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-            k = batch.schema.get_field_index(mark)
-            before = batch.column(k).to_pylist() if k >= 0 else [None] * batch.num_rows
+            old = batch.column(batch.schema.get_field_index(before)).to_pylist() if before else [None] * batch.num_rows
             rows = []
-            for t, old in zip(_texts(batch, text), before):
+            for t, held in zip(_texts(batch, text), old):
                 w = words_of(t)
-                runs, ids = own.find(w)
-                if old and old["runs"]:
-                    runs = [*runs, *zip(old["runs"][::2], old["runs"][1::2])]
-                    ids = ids | set(old["items"])
+                if own is not None:
+                    runs, ids = own.find(w)
+                else:
+                    runs, ids = (list(zip(held["runs"][::2], held["runs"][1::2])), held["items"]) if held else ([], [])
                 rows.append({"n_words": len(w), "runs": [x for r in _merge(runs) for x in r], "items": sorted(ids)})
             out = pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in names], pa.array(rows, _FOUND)], names=[*names, mark])
             return out.filter(pa.array([not r["runs"] for r in rows])) if clean_only else out
 
         return work
 
-    return make
+    return map_rows(docs, schema, make)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,13 +284,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window occurs, with the columns of ``docs``."""
-    return find_windows(docs, benchmark, text, mark=_free(docs), clean_only=True).select(*docs.columns)
-
-
-def _free(docs: DataFrame) -> str:
-    from .common import fresh_name
-
-    return fresh_name(docs, "found")
+    return find_windows(docs, benchmark, text, mark=fresh_name(docs, "found"), clean_only=True).select(*docs.columns)
 
 
 def op6_prefix_filter(spark, sf_dir: str) -> DataFrame:

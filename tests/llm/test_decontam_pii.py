@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import pytest
@@ -50,6 +51,54 @@ def test_scan_against_brute_force(spark, docs, rows, bench_rows, block, monkeypa
     assert Counter(tuple(r[:6]) for r in got) == want
 
 
+def test_passes_grow_with_the_blocks(spark, monkeypatch):
+    """Fifty blocks: one pass that counts, one a block, one that joins; the driver holds a block at a time."""
+    rng = random.Random(2)
+    items = [(i, words(rng, 25)) for i in range(50)]
+    texts = [(i, words(rng, 30) + " " + items[i % 60][1] if i % 60 < 50 and i % 3 else words(rng, 40)) for i in range(120)]
+    calls, alive = Counter(), []
+
+    class Block(list):
+        pass
+
+    def watched(name):
+        real = getattr(dc, name)
+
+        def call(*args):
+            calls[name] += 1
+            return real(*args)
+
+        return call
+
+    def blocks(*args):
+        for b in real_blocks(*args):
+            assert all(x() is None for x in alive)
+            held = Block(b)
+            b.clear()
+            alive.append(weakref.ref(held))
+            yield held
+            del held
+
+    real_blocks = dc._blocks
+    monkeypatch.setattr(dc, "BLOCK_BYTES", 60)
+    monkeypatch.setattr(dc, "_TABLES", 16)
+    monkeypatch.setattr(dc, "_blocks", blocks)
+    for name in ("_corpus_counts", "_hits", "_marked"):
+        monkeypatch.setattr(dc, name, watched(name))
+    got = {r["doc_id"]: r for r in dc.scan(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string").coalesce(1)).collect()}
+    assert calls == {"_corpus_counts": 1, "_hits": 50, "_marked": 1}
+    for i, t in texts:
+        n, hit, ids = brute_hits(t, items)
+        assert (got[i]["n_words"], got[i]["n_hit"], list(got[i]["items"])) == (n, hit, ids)
+
+
+def test_few_slots_change_nothing(spark, docs, rows, bench_rows, monkeypatch):
+    bench = spark.createDataFrame(bench_rows, "item_id long, text string")
+    want = sorted(map(str, dc.scan(docs, bench).collect()))
+    monkeypatch.setattr(dc, "SLOTS", 4)
+    assert sorted(map(str, dc.scan(docs, bench).collect())) == want
+
+
 def test_repetitive_texts(spark):
     rng = random.Random(4)
     items = [(i, " ".join(rng.choice("ab") for _ in range(rng.randint(1, 25)))) for i in range(8)]
