@@ -9,6 +9,12 @@ are pruned, and of the others only those that share a bigram with the segment ar
 holds more than a licence is also searched by windows of each template's own length around shared bigrams. The
 best licence of a segment is cut out where it stands, and what is left before, between and behind is searched again.
 
+Wordings of two versions of a licence, or of two of a family, may be alike beyond the threshold. So numbers and
+family names decide: a notice of at most NOTICE words must have the template's numbers and no others; in a longer
+text every number behind "version" must be one of the template's, and each family name stand about as often. Of
+the other words of a notice only the fixed FILLER may be missing, so that a line that merely mentions a licence, or
+grants one of another name, is none.
+
 Defined results: null and empty texts match nothing; equal scores go to the template that comes first by
 name; repeated rows are scanned one by one; an empty table gives an empty result; further columns are
 ignored.
@@ -39,37 +45,65 @@ _COPYRIGHT = re.compile(
     rf"(?:[^\s]*+(?:[ \t]++(?![^\w\s]{{0,3}}{_GRANT}){_GOES_ON}){{0,{HOLDER_WORDS}}}(?:[ \t]++(?![^\w\s]{{0,3}}{_GRANT})[^\s]+[.!?](?=\s|$))?)"
     r"(?:[ \t]*+all[ \t]++rights[ \t]++reserved\b\.?)?"
 )
+#: Words of a template up to which it is a one-line notice.
+NOTICE = 20
+#: Fixed words that tell the licences of one family apart.
+FAMILY = ("affero", "documentation", "lesser", "library", "noderivatives", "noncommercial", "sharealike")
+FILLER = frozenset(("this", "work", "project", "is", "the", "terms", "of", "license"))
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _CUT = re.compile(r"(?<=[.!?])[\x20\x09-\x0D]+")
 
 
 def normalize(text: str) -> list[str]:
-    return [w.replace("licence", "license") for w in _WORD.findall(_COPYRIGHT.sub(" ", text).lower())]
+    return _WORD.findall(_COPYRIGHT.sub(" ", text).lower().replace("licence", "license"))
 
 
 def bigrams(words: list[str]) -> list[tuple[str, str]]:
     return list(zip(words, words[1:]))
 
 
+def numbers(words: list[str]) -> frozenset[str]:
+    return frozenset(w for w in words if any(c.isdigit() for c in w))
+
+
+def versions(words: list[str]) -> frozenset[str]:
+    """The numbers behind the word version, those of one zero and none being one: 2.0 is 2."""
+    return frozenset(re.sub(r"\.0$", "", b) for a, b in zip(words, words[1:]) if a in ("version", "v") and b[0].isdigit())
+
+
 class Templates:
     """Templates with their bigram counts, an index from bigram to templates, and the size bounds."""
 
     def __init__(self, texts: dict[str, list[str]], threshold: float = THRESHOLD):
         self.threshold = threshold
-        self.names, self.bags, self.sizes = [], [], []
+        made = []
         for name in sorted(texts):
             for t in texts[name]:
-                bag = bigrams(normalize(t))
-                if bag:
-                    self.names.append(name)
-                    self.bags.append(Counter(bag))
-                    self.sizes.append(len(bag))
-        self.holders: dict[tuple, list[int]] = defaultdict(list)
-        for k, bag in enumerate(self.bags):
-            for g in bag:
-                self.holders[g].append(k)
+                words = normalize(t)
+                if bag := bigrams(words):
+                    made.append((name, Counter(bag), len(bag), words))
+        self.names, self.bags, self.sizes = ([m[k] for m in made] for k in range(3))
+        self.notice = [len(m[3]) <= NOTICE for m in made]
+        self.numbers = [numbers(m[3]) if n else versions(m[3]) for m, n in zip(made, self.notice)]
+        self.needed = [frozenset(m[3]) - FILLER for m in made]
+        self.family = [Counter(w for w in m[3] if w in FAMILY) for m in made]
         self.least = [math.ceil(n * threshold / (2 - threshold) - 1e-9) for n in self.sizes]
         self.most = [math.floor(n * (2 - threshold) / threshold + 1e-9) for n in self.sizes]
+        # Templates of a bigram by falling need of size: a small segment meets those for small texts only.
+        self.holders: dict[tuple, list[int]] = defaultdict(list)
+        for k in sorted(range(len(made)), key=lambda k: self.least[k]):
+            for g in self.bags[k]:
+                self.holders[g].append(k)
+
+    def agrees(self, grams: list[tuple[str, str]], k: int) -> bool:
+        """Whether the numbers and family names of a range of bigrams are those of template ``k``."""
+        if not grams:
+            return False
+        words = [a for a, _ in grams] + [grams[-1][1]]
+        if self.notice[k]:
+            return self.needed[k].issubset(words) and numbers(words) == self.numbers[k] and all(w in self.family[k] for w in words if w in FAMILY)
+        own = Counter(w for w in words if w in FAMILY)
+        return versions(words) <= self.numbers[k] and all(abs(own[w] - self.family[k][w]) <= max(own[w], self.family[k][w]) // 3 for w in FAMILY)
 
     def dice(self, bag: Counter, size: int, k: int) -> float:
         own = self.bags[k]
@@ -82,22 +116,41 @@ class Templates:
         if not shared:
             return out
         size, whole = len(grams), None
-        near = Counter(k for i in shared for k in self.holders[grams[i]])
+        near: Counter = Counter()
+        for i in shared:
+            for k in self.holders[grams[i]]:
+                if self.least[k] > size:
+                    break
+                near[k] += 1
+        words = {w for g in (grams[0], *grams) for w in g}
         for k, common in near.items():
-            if size < self.least[k] or common < self.sizes[k] * self.threshold / 2:
-                continue  # too small, or too few shared places for the threshold
+            if common < self.sizes[k] * self.threshold / 2 or (self.notice[k] and not self.needed[k] <= words):
+                continue  # too few shared places for the threshold, or a notice without its words
             if size <= self.most[k]:
                 whole = whole or Counter(grams)
                 s = self.dice(whole, size, k)
+                if s < self.threshold - 1e-12 or not self.agrees(grams, k):
+                    continue
             else:
-                s = self._window(grams, [i for i in shared if k in self.holders[grams[i]]], k)
+                s = self._window(grams, [i for i in shared if k in self._of(grams[i])], k)
             if s >= self.threshold - 1e-12:
                 out[self.names[k]] = max(s, out.get(self.names[k], 0.0))
         return out
 
+    def _of(self, gram: tuple[str, str]) -> frozenset[int]:
+        """The templates of a bigram, for membership."""
+        held = self.__dict__.setdefault("_sets", {})
+        if gram not in held:
+            held[gram] = frozenset(self.holders.get(gram, ()))
+        return held[gram]
+
     def _window(self, grams: list[tuple[str, str]], places: list[int], k: int) -> float:
-        """Best score of the windows of the template's length that begin at a shared bigram."""
-        return max(self._windows(grams, places, k))
+        """Best score of the windows of the template's length that begin at a shared bigram and agree with it."""
+        scores = self._windows(grams, places, k)
+        for s, start in sorted(((s, p) for s, p in zip(scores, places) if s >= self.threshold - 1e-12), key=lambda x: (-x[0], x[1])):
+            if self.agrees(grams[start : start + self.sizes[k]], k):
+                return s
+        return 0.0
 
     def _windows(self, grams: list[tuple[str, str]], places: list[int], k: int) -> list[float]:
         """The score of each window of the template's length that begins at one of ``places``, the shared bigrams."""
@@ -125,8 +178,8 @@ class Templates:
         """
         found = []
         for k in (k for k, own in enumerate(self.names) if own in names):
-            if len(places := [i for i in shared if k in self.holders[grams[i]]]) >= self.sizes[k] * self.threshold / 2:
-                found += [(-s, places[j], k, j, places) for j, s in enumerate(self._windows(grams, places, k)) if s >= self.threshold - 1e-12]
+            if len(places := [i for i in shared if k in self._of(grams[i])]) >= self.sizes[k] * self.threshold / 2:
+                found += [(-s, places[j], k, j, places) for j, s in enumerate(self._windows(grams, places, k)) if s >= self.threshold - 1e-12 and self.agrees(grams[places[j] : places[j] + self.sizes[k]], k)]
         taken, out = bytearray(len(grams)), []
         for _, start, k, j, places in sorted(found, key=lambda x: x[:3]):
             limit = min(start + self.sizes[k], len(grams))
@@ -168,7 +221,7 @@ def scan_text(text: str, templates: Templates) -> dict[str, float]:
     """Best score of each licence in a segment of ``text``, apart from those that stand where a better-scored one does."""
     found: dict[str, float] = {}
     low = text.lower().replace("licence", "license")
-    if not any(w in low for w in templates.rare):
+    if not any(w in low for w in templates.rare) and not (len(low) >= templates.long and any(w in low for w in templates.rare_long)):
         return found
     segments, seen = [text], set()
     for paragraph in re.split(r"\n[ \t]*\n", text):
@@ -184,20 +237,27 @@ def scan_text(text: str, templates: Templates) -> dict[str, float]:
     return found
 
 
+#: Bigrams from which a template is long: only texts that are long enough are searched for its words.
+_LONG = 600
+
+
 def build(texts: dict[str, list[str]] | None = None, threshold: float = THRESHOLD) -> Templates:
     out = Templates(texts or TEMPLATES, threshold)
-    out.rare = _cover(out)
+    short, long = ([k for k, n in enumerate(out.sizes) if (n >= _LONG) == big] for big in (False, True))
+    out.rare, out.rare_long = _cover(out, short), _cover(out, long)
+    # A bigram takes two characters at least: a letter and what parts it from the next.
+    out.long = 2 * min((out.least[k] for k in long), default=0)
     return out
 
 
-def _cover(templates: Templates) -> list[str]:
-    """Words such that every match has one of them: texts without any are not cut into segments.
+def _cover(templates: Templates, which: list[int]) -> list[str]:
+    """Words such that every match with a template of ``which`` has one of them: texts without any are not cut into segments.
 
     To score t, a segment shares at least half of t times the template's bigrams; if the template's bigrams
     without a set of words number fewer than that, one bigram with a word of the set is shared.
     """
     chosen: list[str] = []
-    for bag, size in sorted(zip(templates.bags, templates.sizes), key=lambda x: x[1]):
+    for bag, size in sorted(((templates.bags[k], templates.sizes[k]) for k in which), key=lambda x: x[1]):
         need = size * templates.threshold / (2 - templates.threshold) * (1 - 1e-9)
         need = max(need * templates.threshold / 2 + size * templates.threshold / 2, 1)
         left = Counter({g: n for g, n in bag.items() if not any(w in x for w in chosen for x in g)})

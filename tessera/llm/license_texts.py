@@ -1,7 +1,12 @@
-"""Public licence texts and notices used as templates: name to the wordings under which it is granted."""
+"""Public licence texts and notices used as templates: name to the wordings under which it is granted.
+
+Longer texts are the files of the folder ``licenses``, as their publishers give them, one a licence.
+"""
 
 from __future__ import annotations
 
+from pathlib import Path
+
 _MIT_GRANT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -43,10 +48,16 @@ def _gnu(name: str, version: str) -> str:
     return f"This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.\n\nThis program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.\n\nYou should have received a copy of the {name} along with this program. If not, see <https://www.gnu.org/licenses/>."
 
 
+_VERBS = ("Licensed", "Released", "Distributed", "Available", "Published", "This work is licensed", "This project is licensed")
+
+
 def _notices(*names: str) -> list[str]:
     """One-line grants as they stand at the head or foot of a text."""
-    forms = ("Licensed under {}.", "Licensed under the {}.", "Released under the {}.", "Released under {}.", "This work is licensed under the {}.", "This work is licensed under {}.")
-    return [f.format(n) for n in names for f in forms]
+    return [f"{v} under {the}{n}." for n in names for v in _VERBS for the in ("", "the ", "the terms of the ")]
+
+
+def _whole() -> dict[str, str]:
+    return {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licenses").glob("*.txt"))}
 
 
 TEMPLATES: dict[str, list[str]] = {
@@ -61,13 +72,20 @@ TEMPLATES: dict[str, list[str]] = {
     "CC-BY-ND-4.0": _notices("CC BY-ND 4.0", "Creative Commons Attribution-NoDerivatives 4.0 International License"),
     "CC-BY-SA-4.0": _notices("CC BY-SA 4.0", "Creative Commons Attribution-ShareAlike 4.0 International License"),
     "CC0-1.0": _notices("CC0 1.0", "CC0 1.0 Universal Public Domain Dedication"),
+    "GFDL-1.2": _notices("GNU Free Documentation License, version 1.2"),
+    "GFDL-1.3": _notices("GNU Free Documentation License, version 1.3"),
+    "GPL-1.0": [_gnu("GNU General Public License", "1"), *_notices("GNU General Public License, version 1")],
     "GPL-2.0": [_gnu("GNU General Public License", "2"), *_notices("GNU General Public License, version 2", "GPL 2.0", "GPLv2")],
     "GPL-3.0": [_gnu("GNU General Public License", "3"), *_notices("GNU General Public License, version 3", "GPL 3.0", "GPLv3")],
     "ISC": [_ISC, *_notices("ISC License")],
+    "LGPL-2.0": [_gnu("GNU Library General Public License", "2"), *_notices("GNU Library General Public License, version 2")],
     "LGPL-2.1": [_gnu("GNU Lesser General Public License", "2.1"), *_notices("GNU Lesser General Public License, version 2.1", "LGPL 2.1")],
     "LGPL-3.0": [_gnu("GNU Lesser General Public License", "3"), *_notices("GNU Lesser General Public License, version 3", "LGPL 3.0")],
     "MIT": [_MIT_GRANT, *_notices("MIT License")],
+    "MPL-1.1": _notices("Mozilla Public License, version 1.1", "MPL 1.1"),
     "MPL-2.0": [_MPL, *_notices("Mozilla Public License, version 2.0", "MPL 2.0")],
     "Unlicense": [_UNLICENSE, *_notices("Unlicense")],
     "Zlib": [_ZLIB, *_notices("zlib License")],
 }
+for _name, _text in _whole().items():
+    TEMPLATES.setdefault(_name, []).append(_text)

@@ -1,5 +1,7 @@
 import collections
+import os
 import random
+import re
 
 import pytest
 import xxhash
@@ -44,6 +46,113 @@ def test_dice_and_bounds_against_all_templates():
         assert {k: got[k] for k in want} == pytest.approx(want)
 
 
+def brute_words(text):
+    """Lower-cased runs of letters and digits, joined by single stops, apostrophes or hyphens inside."""
+    out, cur = [], ""
+    t = text.lower().replace("licence", "license") + "  "
+    for i, c in enumerate(t[:-1]):
+        if c.isalnum():
+            cur += c
+        elif cur and c in ".'-" and t[i + 1].isalnum() and cur[-1].isalnum():
+            cur += c
+        else:
+            out += [cur] if cur else []
+            cur = ""
+    return out
+
+
+def brute_version_words(ws):
+    return {b[:-2] if b.endswith(".0") else b for a, b in zip(ws, ws[1:]) if a in ("version", "v") and b[0].isdigit()}
+
+
+def brute_agrees(ws, own):
+    digits = lambda x: {w for w in x if any(c.isdigit() for c in w)}
+    if len(own) <= ls.NOTICE:
+        needed = {w for w in own if w not in ("this", "work", "project", "is", "the", "terms", "of", "license")}
+        return needed <= set(ws) and digits(ws) == digits(own) and not {w for w in ws if w in ls.FAMILY} - set(own)
+    near = all(abs(ws.count(w) - own.count(w)) <= max(ws.count(w), own.count(w)) // 3 for w in ls.FAMILY)
+    return near and brute_version_words(ws) <= brute_version_words(own)
+
+
+def brute_best(text, texts, threshold=0.8):
+    """The best (score, name) over all segments, all templates and, in segments too long for one, all windows of its length."""
+    segments = {text}
+    for paragraph in re.split(r"\n[ \t]*\n", text):
+        segments.add(paragraph)
+        for line in paragraph.split("\n"):
+            segments |= {line, *re.split(r"(?<=[.!?])[ \t\n\v\f\r]+", line)}
+    best = (0.0, "")
+    for segment in segments:
+        ws = brute_words(segment)
+        for name, own_texts in texts.items():
+            for own in map(brute_words, own_texts):
+                n = len(own) - 1
+                wins = [ws] if (len(ws) - 1) <= n * (2 - threshold) / threshold + 1e-9 else [ws[a : a + n + 1] for a in range(len(ws) - 1)]
+                for win in wins:
+                    a, b = collections.Counter(zip(win, win[1:])), collections.Counter(zip(own, own[1:]))
+                    if n < 1 or not a:
+                        continue
+                    s = 2 * sum((a & b).values()) / (sum(a.values()) + n)
+                    if s >= threshold - 1e-12 and brute_agrees(win, own):
+                        best = max(best, (s, name), key=lambda x: (round(x[0], 12), [-ord(c) for c in x[1]]))
+    return best if best[1] else None
+
+
+def test_scan_against_brute_force():
+    """No prefilter, no index, no bounds: every template against every segment and window."""
+    names = ("MIT", "ISC", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "CC-BY-4.0", "MPL-2.0")
+    texts = {n: [t for t in ls.TEMPLATES[n] if len(t) < 3000][:8] for n in names}
+    built = ls.build(texts)
+    rng = random.Random(12)
+    filler = ["some", "words", "of", "the", "under", "license", "version", "2", "3.0", "gnu", "public", "software", "terms.", "any\n", "released"]
+    seen = collections.Counter()
+    for case in range(150):
+        ws = rng.choice(texts[rng.choice(names)]).split(" ")
+        for _ in range(rng.choice((0, 0, 1, 3, 8))):
+            k = rng.randrange(len(ws)) if ws else 0
+            ws[k : k + 1] = rng.choice(([], [rng.choice(filler)], [*ws[k : k + 1], rng.choice(filler)]))
+        around = lambda: " ".join(rng.choice(filler) for _ in range(rng.choice((0, 0, 5, 30))))
+        text = rng.choice((" ", "\n", "\n\n")).join((around(), " ".join(ws), around()))
+        want = brute_best(text, texts)
+        got = ls.scan_text(text, built)
+        if want is None:
+            assert got == {}, (text, got)
+        else:
+            top = min(got.items(), key=lambda x: (-round(x[1], 12), x[0]))
+            assert top[0] == want[1] and top[1] == pytest.approx(want[0]), (text, want, got)
+        seen[want is None] += 1
+    assert min(seen.values()) > 10
+
+
+def test_ties_go_to_the_first_name():
+    built = ls.build({"b": ["Given under rules of the house"], "a": ["Given under rules of the house"], "c": ["Other words altogether here now"]})
+    assert ls.scan_text("given under rules of the house", built) == {"a": 1.0}
+    assert ls.scan_text("", built) == {}
+
+
+def test_versions_and_families_decide():
+    built = ls.build()
+    for text in ("Released under the Apache License, Version 1.1.", "licensed under the CC BY 3.0", "Licensed under CC BY-NC 2.0.", "distributed under the GNU Library General Public License, version 9"):
+        assert ls.scan_text(text, built) == {}, text
+    for text, name in (("Distributed under the MIT license.", "MIT"), ("Available under the terms of the CC BY 4.0.", "CC-BY-4.0"), ("This project is licensed under the GPL 2.0.", "GPL-2.0"), ("Licensed under GNU Lesser General Public License, version 3.", "LGPL-3.0")):
+        assert ls.scan_text(text, built) == {name: 1.0}, text
+    for name, other in (("GPL-2.0", "3"), ("GPL-3.0", "2"), ("AGPL-3.0", "1")):
+        notice = ls.TEMPLATES[name][0]
+        assert name in ls.scan_text(notice, built) and name not in ls.scan_text(notice.replace(f"version {name[-3]}", f"version {other}"), built)
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="a system without licence files")
+def test_licence_files_of_the_system_are_named_rightly():
+    built = ls.build()
+    right = {"Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "GFDL": "GFDL-1.3", "GPL": "GPL-3.0", "GPL-1": "GPL-1.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL": "LGPL-3.0", "LGPL-2": "LGPL-2.0", "LGPL-3": "LGPL-3.0"}
+    for f in os.listdir("/usr/share/common-licenses"):
+        with open(f"/usr/share/common-licenses/{f}", encoding="utf-8") as text:
+            whole = text.read()
+        assert set(ls.scan_text(whole, built)) <= {right.get(f, f)}, f
+        # With its middle gone a text is another one, or still this one.
+        assert set(ls.scan_text(whole[: len(whole) // 3] + whole[len(whole) * 2 // 3 :], built)) <= {right.get(f, f)}, f
+
+
 def test_scan_empty(empty):
     assert ls.scan(empty).collect() == []
 
