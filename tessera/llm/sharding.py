@@ -23,6 +23,8 @@ _M_HI, _M_LO = _MULT >> 32, _MULT & _M32
 _STEPS = 64
 #: Rows that one task numbers at most, on average; larger shards are numbered in blocks.
 SLOT_BLOCK_ROWS = 2_000_000
+#: Copies of a row that are given their slots together; more are numbered in pieces of so many.
+COPIES = 100_000
 
 
 def _mul32(a: Column, const: int) -> Column:
@@ -77,9 +79,10 @@ def jump_shards(key: Column, shards: list[int]) -> Column:
 def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text", slot_block_rows: int = SLOT_BLOCK_ROWS) -> DataFrame:
     """``(key, size, text_crc32, law, shard, slot, grown_shard)`` for every row of ``docs``.
 
-    Rows that agree in key, size and checksum are counted before the shuffle and given their slots as one
-    range, so a key that a third of the rows share costs one row. Slots follow (block, key, size, checksum);
-    a shard has one block per ``slot_block_rows`` rows of the table, so no task numbers a whole large shard.
+    Rows that agree in key, size and checksum are counted before the shuffle and given their slots as ranges
+    of at most COPIES, so a key that a third of the rows share costs few rows, and no array holds all its slots.
+    Slots follow (block, key, size, checksum, piece); a shard has one block per ``slot_block_rows`` rows of the
+    table, so no task numbers a whole large shard.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     slim = docs.select(
@@ -89,10 +92,14 @@ def assign_shards(docs: DataFrame, n_shards: int, key: str = "doc_id", text: str
     )
     counted = slim.groupBy("k", "size", "crc").agg(F.count("*").alias("copies"))
     counted = counted.withColumn("at", jump_shards(F.col("k"), [n_shards, n_shards + 1]))
-    counted = materialize(counted.select("k", "size", "crc", "copies", F.col("at.s0").alias("shard"), F.col("at.s1").alias("grown")), n_rows(docs))
-    blocks = max(1, -(-n_rows(counted) // slot_block_rows))
-    counted = counted.withColumn("block", F.pmod(F.xxhash64("k", "size", "crc"), F.lit(blocks)).cast("int"))
-    inside = Window.partitionBy("shard", "block").orderBy(F.col("k").asc_nulls_first(), "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    n = n_rows(docs)
+    last = F.expr(f"(copies - 1) div {COPIES}")
+    counted = counted.select("k", "size", "crc", "copies", F.col("at.s0").alias("shard"), F.col("at.s1").alias("grown"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("piece"))
+    counted = counted.withColumn("copies", F.least(F.col("copies") - F.col("piece") * COPIES, F.lit(COPIES).cast("long")))
+    counted = materialize(counted, n)
+    blocks = max(1, -(-n // slot_block_rows))
+    counted = counted.withColumn("block", F.pmod(F.xxhash64("k", "size", "crc", "piece"), F.lit(blocks)).cast("int"))
+    inside = Window.partitionBy("shard", "block").orderBy(F.col("k").asc_nulls_first(), "size", "crc", "piece").rowsBetween(Window.unboundedPreceding, -1)
     placed = counted.withColumn("first", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
     if blocks > 1:
         totals = counted.groupBy("shard", "block").agg(F.sum("copies").alias("held"))

@@ -50,6 +50,19 @@ def test_assign(docs, rows):
     assert not re.search("Python|Pandas|Arrow", plan(out))
 
 
+def test_many_copies_are_numbered_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(sd, "COPIES", 7)
+    rows = [(5, "same")] * 100 + [(5, "other")] * 7 + [(None, None)] * 15 + [(k, "x") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (10, 1_000):
+        slots = collections.defaultdict(list)
+        got = sd.assign_shards(df, 4, slot_block_rows=block).collect()
+        for r in got:
+            slots[r["shard"]].append(r["slot"])
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+        assert collections.Counter((r["doc_id"], r["size"]) for r in got) == collections.Counter((i, len(t or "") + 16) for i, t in rows)
+
+
 def test_growth_moves_rows_only_into_the_new_shard():
     moved = [k for k in range(4000) if jump(k, 40) != jump(k, 41)]
     assert all(jump(k, 41) == 40 for k in moved) and 60 < len(moved) < 140
@@ -97,6 +110,22 @@ def test_cascade_order_and_plan(docs):
     assert not re.search("Python|Pandas|Arrow", plan(qr.judge(docs)))
 
 
+def test_columns_named_like_measures(spark):
+    rows = [(1, "fine words in a row here " * 20, "own", 7), (2, None, "own", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_words int")
+    got = {r["doc_id"]: r for r in qr.judge(df).collect()}
+    assert got[1]["n_words"] == 120 and got[2]["n_words"] == 0 and got[2]["kept"] is False
+    varied = spark.createDataFrame([(1, " ".join(f"word{k}" for k in range(80)), "own", 7)], "doc_id long, text string, kept string, n_words int")
+    assert [tuple(r) for r in qr.keep_passing(varied).collect()] == [tuple(r) for r in varied.collect()]
+
+
+def test_sample_comes_from_the_whole_table(spark):
+    """A table sorted so that its first rows break no rule still tells the rules apart."""
+    df = spark.range(4000).selectExpr("id AS doc_id", "CASE WHEN id < 2000 THEN repeat('fine words here ', 20) ELSE repeat('# * ', 60) END AS text").coalesce(4)
+    found = {f["rule"].name: f["rejects"] for f in qr.plan_cascade(df)}
+    assert 0.3 < found["symbol_share"] < 0.7
+
+
 def test_keep_passing(docs, rows):
     got = qr.keep_passing(docs)
     assert got.columns == docs.columns
