@@ -329,6 +329,7 @@ def _by_part(dealt: DataFrame, tasks: int, names: tuple[str, ...], work, schema:
                 if part != at and ts:
                     yield from work(np.array(ts), [_unpacked(b, *names) for b in blobs])
                     ts, blobs = [], []
+                    pa.default_memory_pool().release_unused()
                 at = part
                 ts.append(t)
                 blobs.append(blob)
@@ -363,6 +364,10 @@ def _member(h: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
     return sorted_set[np.minimum(np.searchsorted(sorted_set, h), len(sorted_set) - 1)] == h
 
 
+#: Segments whose bytes are gathered at a time: a place takes eight bytes and more for each of theirs.
+_GATHER = 10_000
+
+
 class _Segments:
     """The segments of the wanted minimizers of a chunk, the distinct ones in an order that the chunk's content alone decides.
 
@@ -416,9 +421,8 @@ class _Segments:
 
     def _equal(self, again: np.ndarray, at: np.ndarray, size: np.ndarray) -> bool:
         """Whether the segments ``again`` have the bytes of those before them."""
-        step = 100_000  # some ten megabytes
-        for a in range(0, len(again), step):
-            k = again[a : a + step]
+        for a in range(0, len(again), _GATHER):
+            k = again[a : a + _GATHER]
             n = size[k]
             if (n != size[k - 1]).any():
                 return False
@@ -429,9 +433,13 @@ class _Segments:
 
     def texts(self) -> pa.Array:
         ends = np.cumsum(self.size)
-        flat = self.pool[np.repeat(self.at - ends + self.size, self.size) + np.arange(int(self.size.sum()))]
+        flat = np.empty(int(self.size.sum()), np.uint8)
+        for a in range(0, len(self.size), _GATHER):
+            n = self.size[a : a + _GATHER]
+            begin = np.cumsum(n) - n
+            flat[ends[a] - n[0] : ends[a] - n[0] + int(n.sum())] = self.pool[np.repeat(self.at[a : a + _GATHER] - begin, n) + np.arange(int(n.sum()))]
         offsets = np.concatenate(([0], ends)).astype(np.int32)
-        return pa.Array.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(flat))])
+        return pa.Array.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
 
     def find(self, key: np.ndarray, sid: np.ndarray) -> np.ndarray:
         return self.begin[np.searchsorted(self.keys, key)] + sid
@@ -448,6 +456,7 @@ def _send(chunks: DataFrame, wanted: DataFrame, length: int, gram: int, parts: i
     names, kinds = ["part", "t", "blob"], [pa.int64(), pa.int64(), pa.binary()]
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the chunk before
         nothing = pa.table([pa.array([], k) for k in kinds], names=names)
         if not docs.num_rows or not marks.num_rows:
             return nothing
@@ -619,6 +628,7 @@ def _remove(chunks: DataFrame, found: DataFrame, kind: str, length: int, gram: i
     """(k, n_bytes, n_removed, spans, kept) for every document: spans are the removed runs, flattened to (start, end, ...)."""
 
     def run(docs: pa.Table, marks: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()  # of the chunk before
         texts = docs.column("b").to_pylist()
         gone = _spans(docs, pa.concat_tables([_unpacked(b, "key", "mark", "sid", "a", "b", "m") for b in marks.column("blob").to_pylist()]), texts, length, gram) if docs.num_rows and marks.num_rows else {}
         n_removed, spans, kept = [], [], []
