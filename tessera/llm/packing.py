@@ -36,7 +36,7 @@ END_ID = 2
 BLOCK_ITEMS = 16_384
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 30
+GENERATIONS = 12
 POPULATION = 6
 #: Tasks of the search, at most; each takes whole (block, island) pairs.
 _MOST_TASKS = 50_000
