@@ -16,6 +16,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .base import Guarded
 
 #: Images that a fit reads, those with the smallest ids.
@@ -184,8 +185,8 @@ def contrast(factor: float, g: Grid = GRID) -> Column:
 def noisy(df: DataFrame, sigma: float, key: str, seed: int = 0, g: Grid = GRID) -> DataFrame:
     """Normal noise, clamped to 0..1. It is a function of seed, key and place, so a repeated task draws the same."""
     p = F.col(g.pixels)
-    u = lambda i, k: (F.pmod(F.xxhash64(F.col(key), i, F.lit(seed), F.lit(k)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
-    normal = lambda i: F.sqrt(-2 * F.log(u(i, 0))) * F.cos(2 * math.pi * u(i, 1))
+    u = lambda i, k: uniform(seed, k, F.col(key), i)
+    normal = lambda i: F.sqrt(-2 * F.log(1 - u(i, 0))) * F.cos(2 * math.pi * u(i, 1))
     return df.withColumn(g.pixels, F.transform(p, lambda v, i: _unit(v + sigma * normal(i))))
 
 

@@ -14,6 +14,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform
 from .base import Guarded
 from .stats import clean
 
@@ -193,13 +194,14 @@ def ratio_split(df: DataFrame, series: list[str], order: list[str], train: float
 def time_warp(df: DataFrame, series: list[str], order: list[str], columns: list[str], sigma: float = 0.1, seed: int = 0) -> DataFrame:
     """Each row is itself or, by a jitter of the index within sigma < 1 that is truncated, its predecessor."""
     w = _w(series, order)
-    back = F.rand(seed) < (0.5 if sigma > 0 else 0.0)
+    back = uniform(seed, 0, *[F.col(c) for c in series + order]) < (0.5 if sigma > 0 else 0.0)
     flagged = df.withColumn("__back", back)
     return flagged.withColumns({c: F.when(F.col("__back"), F.coalesce(F.lag(_num(c)).over(w), _num(c))).otherwise(_num(c)) for c in columns}).drop("__back")
 
 
-def jitter(df: DataFrame, columns: list[str], noise: float = 0.05, seed: int = 0) -> DataFrame:
-    return df.withColumns({c: _num(c) * (1 + (F.rand(seed + k) * 2 - 1) * noise) for k, c in enumerate(columns)})
+def jitter(df: DataFrame, keys: list[str], columns: list[str], noise: float = 0.05, seed: int = 0) -> DataFrame:
+    """Each value times a factor within ``noise`` of 1, drawn for the row's ``keys``."""
+    return df.withColumns({c: _num(c) * (1 + (uniform(seed, k + 1, *[F.col(x) for x in keys]) * 2 - 1) * noise) for k, c in enumerate(columns)})
 
 
 def rescale(df: DataFrame, columns: list[str], low: float = 0.9, high: float = 1.1, seed: int = 0) -> DataFrame:
@@ -209,7 +211,7 @@ def rescale(df: DataFrame, columns: list[str], low: float = 0.9, high: float = 1
 
 def augment(df: DataFrame, series: list[str], order: list[str], columns: list[str], seed: int = 0) -> DataFrame:
     """The rows four times, with ``variant``: original, warped, noisy and scaled."""
-    made = {"original": df.withColumns({c: _num(c) for c in columns}), "warped": time_warp(df, series, order, columns, seed=seed), "noisy": jitter(df, columns, seed=seed), "scaled": rescale(df, columns, seed=seed)}
+    made = {"original": df.withColumns({c: _num(c) for c in columns}), "warped": time_warp(df, series, order, columns, seed=seed), "noisy": jitter(df, series + order, columns, seed=seed), "scaled": rescale(df, columns, seed=seed)}
     out = None
     for name, part in made.items():
         part = part.withColumn("variant", F.lit(name))

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
+from ..functions.draws import uniform_sql
 from ..operators import fusion
 from ..operators import models as md
 from ..operators import tabular as tab
@@ -79,7 +80,8 @@ def persistence(spark, sf_dir):
 
 
 def tabular_net(spark, sf_dir):
-    return md.tabular_scores(tab.clinical_rules(fixture(spark, sf_dir, CLINICAL)), "id", list(tab.LAYOUT))
+    out = md.tabular_scores(tab.clinical_rules(fixture(spark, sf_dir, CLINICAL)), "id", list(tab.LAYOUT))
+    return out.select("id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
 
 
 def predict(spark, sf_dir):
@@ -111,8 +113,8 @@ QUERIES = {
     "model_persistence": persistence,
     "model_tabular_net": tabular_net,
     "model_predict": predict,
-    "source_sample_tabular": lambda spark, sf_dir: io.sample_tabular(spark),
-    "source_sample_temporal": lambda spark, sf_dir: io.sample_temporal(spark),
+    "source_sample_tabular": lambda spark, sf_dir: io.sample_tabular(spark).select("id", *[F.round(c, 9).alias(c) for c in lex.TABULAR_RANGES], "label"),
+    "source_sample_temporal": lambda spark, sf_dir: io.sample_temporal(spark).select("series_id", "t", *[F.round(c, 9).alias(c) for c in io.TEMPORAL]),
     "source_sample_text": lambda spark, sf_dir: io.sample_text(spark),
 }
 
@@ -124,6 +126,22 @@ def _fuse(body):
     return f"{_S}, f AS ({body}) SELECT id, round(low, 6) AS low, round(high, 6) AS high, {_BAND.format(h='round(high, 6)')} AS risk FROM f"
 
 
+_DRAWN = ", ".join(f"{lo}::DOUBLE + {hi - lo!r}::DOUBLE * {uniform_sql(0, k, 'i')} AS {c}" for k, (c, (lo, hi)) in enumerate(lex.TABULAR_RANGES.items()))
+_SIGNS = "(CASE WHEN age > 35 THEN 3 ELSE 0 END + CASE WHEN systolic > 140 OR diastolic > 90 THEN 4 ELSE 0 END + CASE WHEN glucose > 126 THEN 3 ELSE 0 END)"
+
+
+def _network():
+    """The network as list products; its weights are drawn from the seed here as there."""
+    rules = "SELECT id, " + ", ".join({"weight": "CASE WHEN age > 35 THEN weight * 1.2e0 ELSE weight END AS weight", "systolic": "CASE WHEN weight / (height * height) > 30 THEN systolic * 1.15e0 ELSE systolic END AS systolic"}.get(c, c) for c in tab.LAYOUT) + " FROM c"
+    x = f"SELECT id, [{', '.join(tab.LAYOUT)}]::DOUBLE[] AS x FROM ({rules})"
+    layers = md.mlp_weights()
+    for k, (w, b) in enumerate(layers):
+        rows = ", ".join("[" + ", ".join(repr(float(v)) for v in [*column, bias]) + "]" for column, bias in zip(w.T, b))
+        y = "list_dot_product(list_append(x, 1e0), w)"
+        x = f"SELECT id, list_transform([{rows}]::DOUBLE[][], lambda w: {y if k + 1 == len(layers) else f'greatest({y}, 0e0)'}) AS x FROM ({x})"
+    return f"WITH c AS ({CLINICAL}) SELECT id, round(x[1], 6) AS low, round(x[2], 6) AS high FROM ({x})"
+
+
 ORACLE = {
     "fuse_weighted": _fuse("SELECT id, sum(w * (1 - v)) / sum(w) AS low, sum(w * v) / sum(w) AS high FROM l GROUP BY 1"),
     "fuse_missing_modality": _fuse("SELECT id, sum(([0.3e0, 0.3e0, 0.2e0, 0.2e0])[r] * (1 - v)) AS low, sum(([0.3e0, 0.3e0, 0.2e0, 0.2e0])[r] * v) AS high FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS r FROM l) GROUP BY 1"),
@@ -136,5 +154,11 @@ ORACLE = {
 z AS (SELECT r, sum(tc.n * 1e0 / total * idf * ((id % 7 - 3) / 2e0)) AS z0, sum(tc.n * 1e0 / total * idf * ((id % 5 - 2) / 2e0)) AS z1 FROM tc JOIN voc USING (term) GROUP BY 1)
 SELECT doc_id, round(1 / (1 + exp(coalesce(z1, 0) - 0.1e0 - coalesce(z0, 0) - 0.1e0)), 6) AS low, round(1 / (1 + exp(coalesce(z0, 0) + 0.1e0 - coalesce(z1, 0) + 0.1e0)), 6) AS high
 FROM (SELECT row_number() OVER () AS r, doc_id FROM d) LEFT JOIN z USING (r)""",
+    "model_tabular_net": _network(),
+    "model_persistence": "SELECT i AS doc_id, true AS same FROM range(10) AS r(i)",
+    "source_sample_tabular": f"WITH r AS (SELECT i AS id, {_DRAWN} FROM range(1000) AS n(i)) SELECT id, " + ", ".join(f"round({c}, 9) AS {c}" for c in lex.TABULAR_RANGES) + f", ({_SIGNS} / 10e0 + {uniform_sql(0, 99, 'id')} * 0.2e0 > 0.5e0)::INT AS label FROM r",
+    "source_sample_temporal": f"""SELECT s AS series_id, t::INT AS t, round(60 + 40 * {uniform_sql(0, 10, 's')} + 20 * {uniform_sql(0, 0, 's', 't')} - 10, 9) AS heart_rate,
+  round(90 + 50 * {uniform_sql(0, 11, 's')} + 40 * {uniform_sql(0, 1, 's', 't')} - 20, 9) AS blood_pressure, round(10 * {uniform_sql(0, 2, 's', 't')}, 9) AS movement,
+  CASE WHEN {uniform_sql(0, 3, 's', 't')} < 0.1e0 THEN 1e0 ELSE 0e0 END AS contractions FROM range(500) AS a(s), range(24) AS b(t)""",
     "source_sample_text": "SELECT r * 10 + i AS doc_id, text, label FROM range(100) AS a(r), (VALUES " + ", ".join(f"({i}, '{t.replace(chr(39), chr(39) * 2)}', {y})" for i, (t, y) in enumerate(lex.SAMPLE_TEXTS)) + ") AS b(i, text, label)",
 }

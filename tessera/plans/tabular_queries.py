@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import base
 from ..operators import tabular as tab
 from .fixtures import CLINICAL, SERIES_NULLS, TAB_NULLS, fixture
 
@@ -90,7 +91,30 @@ def robust(spark, sf_dir):
     return _rounded(tab.scale(df, tab.fit_robust(df, ["weight", "glucose"])), ["id"], ["weight", "glucose"])
 
 
+def all_missing(spark, sf_dir):
+    """A column without any value stays without, but for a constant; others are filled beside it."""
+    df = _clinical(spark, sf_dir).withColumns({"gap": F.lit(None).cast("double"), "held": F.lit(None).cast("double"), "weight": F.when(F.col("id") % 13 != 0, F.col("weight"))})
+    return _rounded(tab.impute(df, {"gap": "mean", "held": 3.0, "weight": "mean"}), ["id"], ["gap", "held", "weight"])
+
+
+def profile(spark, sf_dir):
+    config = tab.PROFILES["demographics"]
+    return _rounded(tab.TabularPreprocessor(config).fit_transform(_clinical(spark, sf_dir)), ["id"], list(config.columns), 5)
+
+
+def builders(spark, sf_dir):
+    """A preprocessor changed step by step, held by name and fitted at its first use."""
+    df = _clinical(spark, sf_dir).withColumn("weight", F.when(F.col("id") % 13 != 0, F.col("weight")))
+    held = base.Profiles({"own": lambda: tab.TabularPreprocessor().with_normalization("minmax").with_imputation("weight", 60.0)})
+    before = held.is_fitted("own")
+    out = held.apply("own", df)
+    return _rounded(out, ["id"], ["weight", "glucose"], 5).withColumn("lazily", F.lit(not before and held.is_fitted("own")))
+
+
 QUERIES = {
+    "tab_impute_all_missing": all_missing,
+    "tab_profile_demographics": profile,
+    "tab_builders": builders,
     "tab_impute_mean": _impute("mean"),
     "tab_impute_median": _impute("median"),
     "tab_impute_mode": _impute("mode"),
@@ -144,7 +168,16 @@ def _chain():
 SELECT id, {scaled}, round({_BMI}, 5) AS bmi, {_BP} AS bp_category, {_AGE} AS age_risk, {_GLU} AS glucose_category FROM k"""
 
 
+def _capped(c, source):
+    return f"greatest(least({c}, (SELECT hi FROM {_bounds(c, source)})), (SELECT lo FROM {_bounds(c, source)}))"
+
+
+_W13 = f"{_C}, r AS (SELECT * REPLACE (CASE WHEN id % 13 <> 0 THEN weight END AS weight) FROM c)"
+
 ORACLE = {
+    "tab_impute_all_missing": f"{_W13} SELECT id, NULL::DOUBLE AS gap, 3e0 AS held, round(coalesce(weight, (SELECT avg(weight) FROM r)), 6) AS weight FROM r",
+    "tab_profile_demographics": f"{_C} SELECT id, " + ", ".join(f"round(({_capped(c, 'c')} - (SELECT avg({c}) FROM c)) / (SELECT stddev_samp({c}) FROM c), 5) AS {c}" for c in tab.PROFILES["demographics"].columns) + " FROM c",
+    "tab_builders": f"{_W13}, f AS (SELECT * REPLACE (coalesce(weight, 60e0) AS weight) FROM r) SELECT id, " + ", ".join(f"round(({_capped(c, 'f')} - (SELECT min({c}) FROM r)) / (SELECT max({c}) - min({c}) FROM r), 5) AS {c}" for c in ("weight", "glucose")) + ", true AS lazily FROM f",
     "tab_impute_mean": f"{_T} SELECT {_K}, {_filled('(SELECT avg({m}) FROM t)')} FROM t",
     "tab_impute_median": f"{_T} SELECT {_K}, {_filled('(SELECT median({m}) FROM t)')} FROM t",
     "tab_impute_mode": f"{_T} SELECT {_K}, {_filled('(SELECT b / 100e0 FROM (SELECT trunc({m} * 100)::BIGINT AS b, count(*) AS n FROM t WHERE {m} IS NOT NULL GROUP BY 1 ORDER BY n DESC, b LIMIT 1))')} FROM t",

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import random
 import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import uniform_sql
 from ..operators import fusion
 from ..operators import temporal as ts
 from ..session import scratch_dir
@@ -77,6 +79,10 @@ def full_transform(spark, sf_dir):
     return _flat(ts.TemporalPreprocessor().fit(s := _series(spark, sf_dir)).transform(s))
 
 
+def profile(name):
+    return lambda spark, sf_dir: _flat(ts.TemporalPreprocessor(ts.PROFILES[name]).fit(s := _series(spark, sf_dir)).transform(s))
+
+
 def label_rule(spark, sf_dir):
     df = _series(spark, sf_dir).select("series_id", F.col("v").alias("heart_rate"), (F.col("t") % 9 == 0).cast("double").alias("contractions"))
     return ts.label(df, _S)
@@ -105,7 +111,7 @@ def risk_bands(spark, sf_dir):
 
 
 def stream_windows(spark, sf_dir):
-    """Hourly totals of each event type, from a stream that is run to its end."""
+    """Daily totals of each event type, from a stream that is run to its end."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     events = stream.read_events(spark, f"{sf_dir}/events.parque[t]", schema)  # a pattern may match a file or a folder
     out = f"{scratch_dir(spark)}/stream/{uuid.uuid4().hex}"
@@ -130,6 +136,8 @@ QUERIES = {
     "ts_next_step_pairs": next_step,
     "ts_train_val_split": split,
     "ts_augment": augmented,
+    "ts_profile_dosage": profile("dosage"),
+    "ts_profile_vital_signs": profile("vital_signs"),
     "ts_risk_bands": risk_bands,
     "stream_daily_windows": stream_windows,
 }
@@ -190,6 +198,12 @@ SELECT series_id, t, round(a[floor(src)::INT + 1] + (src - floor(src)) * (a[leas
 FROM s x JOIN n USING (series_id), range(8) AS r(i), s c, s g
 WHERE x.t + 8 < n.n AND c.series_id = x.series_id AND c.t = x.t + i AND g.series_id = x.series_id AND g.t = x.t + i + 1""",
     "ts_train_val_split": f"{_W} SELECT series_id, t, CASE WHEN t < floor(n * 0.8e0) THEN 'train' ELSE 'validation' END AS split FROM s JOIN n USING (series_id)",
+    "ts_augment": f"""{_W} SELECT series_id, t || ':original' AS t, round(v, 6) AS v FROM s
+UNION ALL SELECT series_id, t || ':warped' AS t, round(CASE WHEN {uniform_sql(5, 0, 'series_id', 't')} < 0.5e0 THEN coalesce(lag(v) OVER ({_ORD}), v) ELSE v END, 6) AS v FROM s
+UNION ALL SELECT series_id, t || ':noisy' AS t, round(v * (1 + ({uniform_sql(5, 1, 'series_id', 't')} * 2 - 1) * 0.05e0), 6) AS v FROM s
+UNION ALL SELECT series_id, t || ':scaled' AS t, round(v * {random.Random(5).uniform(0.9, 1.1)!r}::DOUBLE, 6) AS v FROM s""",
+    "ts_profile_dosage": f"{_W}, {_CLEAN} {_both(24, 12, 'zero', 'nor')}",
+    "ts_profile_vital_signs": f"{_W}, {_CLEAN} {_both(60, 30, 'forward', 'nor')}",
     "ts_risk_bands": f"""{_W}, {_CLEAN}, w AS (SELECT series_id, window_idx, round(avg(v), 6) AS mean_value FROM ({_wins(24, 12, 'nor')} UNION ALL {_padded(24, 'forward', 'nor')}) GROUP BY 1, 2)
 SELECT series_id, window_idx::BIGINT AS window_idx, mean_value, CASE WHEN mean_value > 0.7e0 THEN 'High' WHEN mean_value > 0.3e0 THEN 'Medium' ELSE 'Low' END AS risk FROM w""",
     "stream_daily_windows": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2",

@@ -108,6 +108,30 @@ def _entities(expand):
     return run
 
 
+def _fitted(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return docs, tx.TextPreprocessor(tx.TextConfig(max_features=200, max_length=64)).fit(docs)
+
+
+def fit_transform(spark, sf_dir):
+    docs, model = _fitted(spark, sf_dir)
+    return _weights(model.transform(docs))
+
+
+def fit_sequences(spark, sf_dir):
+    docs, model = _fitted(spark, sf_dir)
+    return model.sequences(docs).select("doc_id", F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"))
+
+
+#: Words of the documents, which hold no clinical ones.
+_COMMON = ("and", "that", "under", "licensed", "this", "license", "work", "que", "les")
+
+
+def docs_entities(spark, sf_dir):
+    e = _docs(spark, sf_dir).select("doc_id", _tokens().alias("tokens")).select("doc_id", tx.entities(F.col("tokens")).alias("e")).select("doc_id", "e.*")
+    return e.select("doc_id", *[F.array_join(c, "|").alias(c) for c in ("medications", "symptoms", "vital_signs")])
+
+
 QUERIES = {
     "txt_clean": _per_doc(lambda t: [F.md5(tx.clean_text(t)).alias("clean_md5"), F.length(tx.clean_text(t)).cast("long").alias("n_chars")]),
     "txt_clean_profiles": profiles,
@@ -129,6 +153,10 @@ QUERIES = {
     "txt_keywords_semi": keywords_semi,
     "txt_entities_expanded": _entities(True),
     "txt_entities_raw": _entities(False),
+    "txt_fit_transform": fit_transform,
+    "txt_fit_sequences": fit_sequences,
+    "txt_docs_keywords": lambda spark, sf_dir: tx.keyword_counts(_docs(spark, sf_dir), "doc_id", _tokens(), _COMMON),
+    "txt_docs_entities": docs_entities,
 }
 
 _IN = lambda words: "(" + ", ".join(f"'{w}'" for w in words) + ")"
@@ -185,9 +213,9 @@ def _prof(p):
     return f"md5({_clean(special=False, punct=p.cleaning.remove_punctuation)})"
 
 
-def _ents(expand):
+def _ents(expand, source=NOTES_SQL):
     """The fold as recursion: one token a step, unless a medication was taken."""
-    return f"""WITH RECURSIVE n AS ({NOTES_SQL}), k AS (SELECT note_id, {_toks(expand=expand)} AS ws FROM n),
+    return f"""WITH RECURSIVE n AS ({source}), k AS (SELECT note_id, {_toks(expand=expand)} AS ws FROM n),
 walk AS (
   SELECT note_id, ws, 1 AS i, NULL::VARCHAR AS med, NULL::VARCHAR AS sym, NULL::VARCHAR AS vit FROM k
   UNION ALL
@@ -223,4 +251,8 @@ SELECT doc_id, len(ws) AS token_count, len(string_split(text, '.')) AS sentence_
     "txt_keywords_semi": f"{_D} SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS term FROM d) WHERE term IN {_IN(sorted({*lex.CLINICAL_KEYWORDS, *lex.MODEL_KEYWORDS, *lex.SYMPTOM_WORDS}))} GROUP BY 1, 2",
     "txt_entities_expanded": _ents(True),
     "txt_entities_raw": _ents(False),
+    "txt_docs_keywords": f"{_D} SELECT doc_id, term, count(*) AS n FROM (SELECT r, doc_id, unnest(ws) AS term FROM (SELECT row_number() OVER () AS r, * FROM d)) WHERE term IN {_IN(_COMMON)} GROUP BY r, 1, 2",
+    "txt_docs_entities": _ents(True, "SELECT doc_id AS note_id, text FROM documents").replace("SELECT note_id, coalesce(string_agg(med", "SELECT note_id AS doc_id, coalesce(string_agg(med"),
 }
+ORACLE["txt_fit_transform"] = ORACLE["txt_tfidf_batch"]
+ORACLE["txt_fit_sequences"] = ORACLE["txt_sequences"].replace(_VOC.format(take=998), _VOC.format(take=198))

@@ -10,9 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import image_queries, model_queries, relational_queries, tabular_queries, temporal_queries, text_queries
+from . import image_queries, model_queries, relational_queries, source_queries, tabular_queries, temporal_queries, text_queries
 
-_PARTS = (tabular_queries, temporal_queries, text_queries, image_queries, model_queries, relational_queries)
+_PARTS = (tabular_queries, temporal_queries, text_queries, image_queries, model_queries, relational_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
