@@ -82,36 +82,41 @@ BUCKET_TEXT = 16 << 20
 
 
 def chunked(docs: DataFrame, key: str, text: str, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """The documents as (t, row, k, b), chunk, place in it, key and UTF-8 text (empty for null), and their text's bytes.
+    """The documents as (t, row, k, b), chunk, place in it, key and UTF-8 text (empty for null), and their text's bytes."""
+    slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
+    return in_chunks(slim, "b", chunk_bytes, "t", "row")
+
+
+def in_chunks(docs: DataFrame, text: str, chunk_bytes: int, t: str, row: str) -> tuple[DataFrame, int]:
+    """``docs`` with columns ``t``, a row's chunk, and ``row``, its place there; and the bytes of ``text`` in all.
 
     A chunk is at most ``chunk_bytes`` of text of one task, or a longer document. The table is written once, in
     buckets by chunk, so that what is later found for a chunk meets its texts without shuffling them. Every task
     writes a chunk to one file of one bucket; the number of buckets follows the text, up to what Spark allows.
     """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    slim = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("b"))
+    spark, names = docs.sparkSession, docs.columns
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
 
     def run(batches):
         from pyspark import TaskContext
 
-        t, row, filled = TaskContext.get().partitionId() << 24, 0, 0
+        at, place, filled = TaskContext.get().partitionId() << 24, 0, 0
         for batch in batches:
-            ts, rows = [], []
-            for n in pc.binary_length(batch.column(1)).to_pylist():
+            ats, places = [], []
+            for n in pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_pylist():
                 if filled and filled + n > chunk_bytes:
-                    t, row, filled = t + 1, 0, 0
-                ts.append(t)
-                rows.append(row)
-                row, filled = row + 1, filled + n + 16
-            yield pa.RecordBatch.from_arrays([pa.array(ts, pa.int64()), pa.array(rows, pa.int32()), *batch.columns], names=["t", "row", "k", "b"])
-
-    numbered = slim.mapInArrow(run, f"t bigint, row int, k {kind}, b binary")
-    total = slim.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+                    at, place, filled = at + 1, 0, 0
+                ats.append(at)
+                places.append(place)
+                place, filled = place + 1, filled + n + 16
+            yield pa.RecordBatch.from_arrays([pa.array(ats, pa.int64()), pa.array(places, pa.int32()), *batch.columns], names=[t, row, *names])
+
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     most = min(int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", str(_MOST_BUCKETS))), _MOST_BUCKETS)
     n_buckets = min(max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_TEXT)), most)
     name, place = f"tessera_{uuid.uuid4().hex}", table_path(spark)
-    numbered.write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(n_buckets, "t").sortBy("t").saveAsTable(name)
+    numbered = docs.mapInArrow(run, f"`{t}` bigint, `{row}` int, {kinds}")
+    numbered.write.format("parquet").option("compression", "zstd").option("path", place).bucketBy(n_buckets, t).sortBy(t).saveAsTable(name)
     out = spark.table(name)
     out.schema  # analysed while the name exists; the files stay
     spark.sql(f"DROP TABLE {name}")

@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -146,19 +147,31 @@ def _keyed(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.xxhash64(body).alias("h"), F.length(body).alias("len"), body.alias("t"))
 
 
+def _terms(t: str) -> set[str]:
+    """The different terms of a text; bytes are split at ASCII white space."""
+    return {term for w in set(t.encode().split()) if (term := _term(w.decode()))}
+
+
 def _evidence(docs: DataFrame, text: str) -> DataFrame:
-    """(h, len, e, term, context) for every document with a base span."""
+    """(h, len, e, term, context, n): each context of a base span, and without h, len, e and context for each term in
+    how many of the documents with a base span it stands; these are counted before they leave a batch."""
 
     def make():
         def work(batch: pa.RecordBatch):
-            h, n = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows = [(h[k], n[k], *c) for k, t in enumerate(_texts(batch, "t")) if (s := base_spans(t)) for c in contexts(t, s)]
-            cols = list(zip(*rows)) or [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()))], names=["h", "len", "e", "term", "context"])
+            h, size = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            rows, seen = [], Counter()
+            for k, t in enumerate(_texts(batch, "t")):
+                if s := base_spans(t):
+                    rows += [(h[k], size[k], *c, None) for c in contexts(t, s)]
+                    seen.update(_terms(t))
+            rows += [(None, None, None, term, None, n) for term, n in seen.items()]
+            cols = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds)], names=["h", "len", "e", "term", "context", "n"])
 
         return work
 
-    return map_rows(_keyed(docs, text), "h bigint, len int, e string, term string, context string", make)
+    return map_rows(_keyed(docs, text), "h bigint, len int, e string, term string, context string, n bigint", make)
 
 
 #: Terms whose document frequency is counted by a set held in each worker; beyond that, a word is counted if it
@@ -190,8 +203,8 @@ def _document_frequency(docs: DataFrame, text: str, terms: DataFrame) -> DataFra
         def work(batch: pa.RecordBatch):
             seen: dict[str, int] = {}
             for t in _texts(batch, "t"):
-                for term in {_term(w.decode()) for w in set(t.encode().split())}:  # bytes are split at ASCII white space
-                    if term and wanted(term):
+                for term in _terms(t):
+                    if wanted(term):
                         seen[term] = seen.get(term, 0) + 1
             return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["term", "df"])
 
@@ -205,20 +218,27 @@ def disclosing_terms(docs: DataFrame, text: str = "text", support: int = SUPPORT
     """((h, len, terms) of the texts that hold something to sanitise, (e, term, pmi, ic) of what discloses)."""
     n = docs.count()
     # Copies of one text give the same evidence, which is told apart from others by the text's hash.
-    seen = materialize(_evidence(docs, text).distinct(), n)
+    found = materialize(_evidence(docs, text))
+    seen = materialize(found.where("e IS NOT NULL").drop("n").distinct(), n)
     pairs = seen.groupBy("e", "term").agg(F.count_distinct("context").alias("contexts")).where(F.col("contexts") >= support)
     pairs = materialize(pairs.select("e", "term"), n)
-    df_t = _document_frequency(docs, text, pairs.select("term").distinct())
     # Each document once for an entity, and for an entity with a term.
     per_doc = seen.groupBy("h", "len", "e", "term").agg(F.max(F.lit(1)).alias("one"))
     copies = materialize(_keyed(docs, text).groupBy("h", "len").agg(F.count("*").alias("copies")).join(seen.select("h", "len").distinct(), ["h", "len"], "left_semi"), n)
     per_doc = per_doc.join(copies, ["h", "len"])
+    per_doc = materialize(per_doc, n)
     df_et = per_doc.join(pairs, ["e", "term"], "left_semi").groupBy("e", "term").agg(F.sum("copies").alias("df_et"))
     df_e = per_doc.join(pairs.select("e").distinct(), "e", "left_semi").select("h", "len", "e", "copies").distinct().groupBy("e").agg(F.sum("copies").alias("df_e"))
-    scored = df_et.join(df_e, "e").join(df_t, "term")
     ic = F.log2(F.lit(float(max(n, 1))) / F.col("df_e"))
     pmi = F.log2(F.lit(float(max(n, 1))) * F.col("df_et") / (F.col("df") * F.col("df_e")))
-    flagged = materialize(scored.select("e", "term", pmi.alias("pmi"), ic.alias("ic")).where((F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic"))), n)
+    enough = (F.col("ic") > 0) & (F.col("pmi") >= F.lit(disclosure) * F.col("ic"))
+    # A term stands in as many documents at least as hold it and an entity: what even that number rules out, such as
+    # common words, is not counted over all texts.
+    least = found.where("e IS NULL").groupBy("term").agg(F.sum("n").alias("df"))
+    could = df_et.join(df_e, "e").join(least, "term").withColumns({"pmi": pmi, "ic": ic}).where(enough).select("e", "term", "df_et", "df_e")
+    could = materialize(could, n)
+    df_t = _document_frequency(docs, text, could.select("term").distinct())
+    flagged = materialize(could.join(df_t, "term").select("e", "term", pmi.alias("pmi"), ic.alias("ic")).where(enough), n)
     terms = seen.select("h", "len", "e").distinct().join(flagged.select("e", "term"), "e").groupBy("h", "len").agg(F.collect_set("term").alias("terms"))
     return materialize(terms, n), flagged
 

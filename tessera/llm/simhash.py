@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize, n_rows
+from .common import discard, fresh_name, in_chunks, map_rows, materialize, n_rows
 
 RADIUS = 3
 BITS = 64
@@ -252,56 +252,56 @@ def components(edges: DataFrame, n: int) -> DataFrame:
         last = mark
 
 
-def _prints(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """(key, fp) for every row; dealt out by key so that the table has few files, however many the texts had."""
-    return materialize(with_fingerprint(docs.select(key, text), text, width).repartition(F.xxhash64(key, "fp")), n_rows(docs))
+def _prints(docs: DataFrame, keep: list[str], text: str, width: int, rows: int) -> DataFrame:
+    """``keep`` and fp for every one of the ``rows``; dealt out by them so that the table has few files, however many the texts had."""
+    return materialize(with_fingerprint(docs.select(*keep, text), text, width).repartition(F.xxhash64(*keep, "fp")), rows)
 
 
-def _groups(prints: DataFrame, key: str) -> DataFrame:
-    """(fp, component_id, first_fp) for the distinct fingerprints of ``prints`` (key, fp).
-
-    The first row of a component is that of the smallest key, null last, and of its rows that of the smallest
-    fingerprint: (component_id, first_fp).
-    """
-    n = n_rows(prints)
-    reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), n)
+def _roots(prints: DataFrame, key: str, rows: int) -> DataFrame:
+    """(fp, rep, root) for the distinct fingerprints of ``prints``: its smallest key, and a name of its component."""
+    reps = materialize(prints.groupBy("fp").agg(F.min(key).alias("rep")), rows)
     n = n_rows(reps)
     edges = links(reps.select("fp"), n)
-    rooted = materialize(reps.join(components(edges, n).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), n)
-    first = F.min(F.struct(F.col("rep").isNull().alias("unnamed"), F.col("rep"), F.col("fp"))).alias("first")
-    names = materialize(rooted.groupBy("root").agg(first), n)
-    return rooted.join(names, "root").select("fp", F.col("first.rep").alias("component_id"), F.col("first.fp").alias("first_fp"))
+    return materialize(reps.join(components(edges, n).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root")), n)
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row a document: key, fingerprint (16 hex digits), component_id (smallest key reachable)."""
-    prints = _prints(docs, key, text, width)
-    groups = materialize(_groups(prints, key), n_rows(prints))
+    n = n_rows(docs)
+    prints = _prints(docs, [key], text, width, n)
+    rooted = _roots(prints, key, n)
+    names = materialize(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), n)
+    groups = materialize(rooted.join(names, "root").select("fp", "component_id"), n)
     out = prints.join(groups, "fp")
     return out.select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Text of a chunk, whose kept rows travel back to it together.
+CHUNK_BYTES = 8 << 20
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
     """One row of each component, with the columns of ``docs``: that of its smallest key (null last).
 
     If the smallest key stands in several rows of a component, it is that of the smallest fingerprint, and of rows
     that agree in both that of the text with the smallest hash. Rows of one key with unlike texts belong to
-    different components and are kept or dropped apart.
+    different components and are kept or dropped apart. Rows are written once, in buckets by chunk, and known by
+    their place; the places that stay travel to their chunks, and no text is shuffled.
     """
-    prints = _prints(docs, key, text, width)
-    n = n_rows(prints)
-    groups = _groups(prints, key).where(F.col("fp") == F.col("first_fp")).select(F.col("component_id").alias(key), "fp")
-    held = materialize(prints.groupBy(key).agg(F.count("*").alias("n")), n)
-    kept = materialize(groups.join(held.withColumnRenamed(key, "own"), F.col(key).eqNullSafe(F.col("own"))).select(key, "fp", "n"), n)
-    # A key that stands in one row needs no look at the text.
-    once = docs.join(kept.where((F.col("n") == 1) & F.col(key).isNotNull()).select(key), key, "left_semi").select(*docs.columns)
-    several = kept.where((F.col("n") > 1) | F.col(key).isNull()).select(F.col(key).alias("own"), F.col("fp").alias("own_fp"))
-    rows = docs.join(several.select("own").distinct(), F.col(key).eqNullSafe(F.col("own")), "left_semi")
-    rows = rows.select(F.col(key).alias("k"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("body"))
-    rows = with_fingerprint(rows.withColumn("order", F.xxhash64(F.coalesce(F.col("body"), F.lit("")))), "body", width)
-    rows = rows.groupBy("k", "fp").agg(F.min_by("row", "order").alias("row"))
-    several = rows.join(several, F.col("k").eqNullSafe(F.col("own")) & (F.col("fp") == F.col("own_fp")), "left_semi").select("row.*")
-    return once.unionByName(several)
+    t, row, h = fresh_name(docs, "chunk"), fresh_name(docs, "place"), fresh_name(docs, "hash")
+    table, _ = in_chunks(docs, text, CHUNK_BYTES, t, row)
+    n = n_rows(table)
+    body = table.select(t, row, F.col(key).alias("key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias(h), F.col(text).alias("body"))
+    prints = _prints(body, [t, row, "key", h], "body", width, n)
+    rooted = _roots(prints, "key", n)
+    # Of each fingerprint one row, then of each component: both are combined before they are shuffled.
+    order = F.struct(F.col("key").isNull(), F.col("key"), F.col("fp"), F.col(h), F.col(t), F.col(row))
+    firsts = materialize(prints.groupBy("fp").agg(F.min(F.struct(order.alias("order"), F.col(t).alias("t"), F.col(row).alias("row"))).alias("first")), n)
+    best = firsts.join(rooted.select("fp", "root"), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    kept = best.groupBy(F.col("first.t").alias("__t")).agg(F.array_sort(F.collect_list("first.row")).alias("__rows"))
+    kept = materialize(kept, n)
+    out = table.join(kept, F.col(t) == F.col("__t"))
+    return out.where(F.array_contains("__rows", F.col(row))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_simhash_covering(spark, sf_dir: str) -> DataFrame:
