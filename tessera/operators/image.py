@@ -270,14 +270,23 @@ class ImageConfig:
     fit_normalized: bool = False
 
 
+def held(df: DataFrame) -> DataFrame:
+    """``df`` with its pixels computed once.
+
+    The next kernel, or a condition on its result, asks for every pixel several times, and the optimizer would put
+    this kernel's expression in the place of each. A column that is not deterministic, always true, keeps it out.
+    """
+    return df.withColumn("__held", F.monotonically_increasing_id() >= 0).where("__held").drop("__held")
+
+
 def process(df: DataFrame, config: ImageConfig, fitted: tuple[float, float] | None = None, normalized: bool = True, g: Grid = GRID) -> DataFrame:
     """resize -> equalise -> blur -> normalise."""
     out = resize(df, config.size, g) if config.size else df
     if config.equalize:
-        out = equalize(out, g)
+        out = held(equalize(out, g))
     if config.blur:
-        out = out.withColumn(g.pixels, blur(g))
-    return out.withColumn(g.pixels, normalize(config.normalization, fitted, g)) if normalized else out
+        out = held(out.withColumn(g.pixels, blur(g)))
+    return held(out.withColumn(g.pixels, normalize(config.normalization, fitted, g))) if normalized else out
 
 
 class ImagePreprocessor(Estimator):

@@ -18,7 +18,7 @@ def _grids(spark, sf_dir):
 
 
 def _flat(df, digits=8):
-    return df.select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", F.round("v", digits).alias("v"))
+    return im.held(df).select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", F.round("v", digits).alias("v"))
 
 
 def _map(column):
