@@ -28,7 +28,8 @@ SCORES = """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE (
   CASE WHEN c_custkey % 5 < 2 THEN NULL ELSE (c_custkey * 13 % 101) / 100e0 END AS image,
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey * 29 % 101) / 100e0 END AS text FROM customer"""
 
-GRIDS_SPARK = "SELECT vec_id AS image_id, 1 AS channels, 8 AS height, 8 AS width, transform(embedding, e -> CAST(floor((e + 1) * 127.5e0) AS double)) AS pixels FROM embeddings"
+#: The sum is one of floats, as in the SQL: beside an integer literal the engine would take doubles, which round some pixels down.
+GRIDS_SPARK = "SELECT vec_id AS image_id, 1 AS channels, 8 AS height, 8 AS width, transform(embedding, e -> CAST(floor(CAST(e + CAST(1 AS float) AS double) * 127.5e0) AS double)) AS pixels FROM embeddings"
 GRIDS_DUCK = "SELECT vec_id AS image_id, list_transform(embedding, lambda e: floor((e::FLOAT + 1::FLOAT)::DOUBLE * 127.5e0)::DOUBLE) AS pixels FROM embeddings"
 
 NOTES = (
