@@ -8,15 +8,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
+from ..functions.words import char_class, odd_spaces, word_lists
 from .base import Guarded
 
 _RUNS = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
 _DROP_SPECIAL = r"[^\p{IsAlphabetic}\p{N}\p{IsWhite_Space}.,;:/\-+%><=]"
+_PUNCTUATION = "!\"#$&'()*,.:;?@[\\]^_`{|}~"
 _DROP_PUNCTUATION = r"[!\"#$&'()*,.:;?@\[\\\]^_`{|}~]"
 _FLOAT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity|nan)$"
 PAD, UNK = 0, 1
@@ -91,7 +94,12 @@ def _split(text: Column) -> Column:
 
 
 def tokenize(text: Column, config: CleaningConfig = CleaningConfig()) -> Column:
-    """Cleaned words without stop words; words of one byte are dropped, so a lone two-byte letter stays."""
+    """Cleaned words without stop words; words of one byte are dropped, so a lone two-byte letter stays.
+
+    Lower-cased texts are cut by an Arrow function, which cleans each different piece once instead of each occurrence.
+    """
+    if config.lowercase:
+        return _piecewise(F.lower(text), config)
     words = _split(clean_text(text, config))
     words = F.filter(words, lambda t: F.octet_length(t) > 1)
     if config.remove_stop_words:
@@ -99,6 +107,23 @@ def tokenize(text: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     return words
 
 
+def _piecewise(text: Column, config: CleaningConfig) -> Column:
+    rules = (
+        tuple(lex.ABBREVIATIONS.items()) if config.expand_abbreviations else None,
+        char_class(r"[^\p{L}\p{M}\p{N}_]"),
+        char_class(_DROP_SPECIAL) if config.remove_special_chars else None,
+        (_PUNCTUATION if config.remove_punctuation else "") + ("0123456789" if config.remove_numbers else ""),
+        lex.STOP_WORDS if config.remove_stop_words else (),
+        spaces := char_class(r"(?U)\S"),
+        odd_spaces(spaces),
+    )
+
+    def run(texts: pa.Array) -> pa.Array:
+        return word_lists(texts, rules)
+
+    return F.arrow_udf(run, "array<string>")(text)
+
+
 def model_tokenize(text: Column) -> Column:
     """The classifier's own words: alphanumeric characters only, more than two bytes, its own stop words."""
     words = F.transform(_split(F.lower(text)), lambda t: F.regexp_replace(t, r"[^\p{IsAlphabetic}\p{N}]", ""))
