@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
 from ..functions.words import char_class, odd_spaces, word_lists
+from ..session import stored
 from .base import Guarded
 
 _RUNS = r"([\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_]+)"
@@ -222,7 +223,9 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
 
 def tfidf(docs: DataFrame, key: str, tokens: Column, vocab: DataFrame) -> DataFrame:
     """(key, id, v) over the batch: tf counts unknown and repeated terms in its total, idf = ln(N / df) of this batch."""
-    return tfidf_of(term_counts(docs, key, tokens), docs.select(key).count(), key, vocab)
+    # What is left of the counts is written, or texts would be cut again for each use of it.
+    known = stored(term_counts(docs, key, tokens).join(F.broadcast(vocab.select("term")), "term"))  # at most max_features terms
+    return tfidf_of(known, docs.select(key).count(), key, vocab)
 
 
 def tfidf_of(counts: DataFrame, n: int, key: str, vocab: DataFrame) -> DataFrame:
