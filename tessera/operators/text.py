@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lex
-from ..functions.words import char_class, odd_spaces, word_lists
+from ..functions.words import char_class, odd_spaces, run_counts, text_sizes, word_lists
 from ..session import stored
 from .base import Guarded
 
@@ -108,8 +108,8 @@ def tokenize(text: Column, config: CleaningConfig = CleaningConfig()) -> Column:
     return words
 
 
-def _piecewise(text: Column, config: CleaningConfig) -> Column:
-    rules = (
+def _rules(config: CleaningConfig) -> tuple:
+    return (
         tuple(lex.ABBREVIATIONS.items()) if config.expand_abbreviations else None,
         char_class(r"[^\p{L}\p{M}\p{N}_]"),
         char_class(_DROP_SPECIAL) if config.remove_special_chars else None,
@@ -119,6 +119,10 @@ def _piecewise(text: Column, config: CleaningConfig) -> Column:
         odd_spaces(spaces),
     )
 
+
+def _piecewise(text: Column, config: CleaningConfig) -> Column:
+    rules = _rules(config)
+
     def run(texts: pa.Array) -> pa.Array:
         return word_lists(texts, rules)
 
@@ -218,6 +222,24 @@ def ngrams(tokens: Column, n: int = 2) -> Column:
     return _let(tokens, lambda ts: F.when(F.size(ts) >= n, grams(ts)).otherwise(F.array().cast("array<string>")))
 
 
+def ngram_counts(docs: DataFrame, text: str = "text", n: int = 2, config: CleaningConfig = CleaningConfig()) -> DataFrame:
+    """(gram, n): how often each run of ``n`` tokens stands in all texts.
+
+    Runs of lower-cased texts are counted by numbers of words, in chunks, before they become strings and are shuffled.
+    """
+    if config.lowercase:
+        rules = _rules(config)
+
+        def run(batches):
+            return run_counts(batches, rules, n)
+
+        # Most runs are rare, so another partial sum before the shuffle would cost more than it saves.
+        counts = docs.select(F.lower(text)).mapInArrow(run, "gram string, n long").repartition("gram")
+    else:
+        counts = docs.select(F.explode(ngrams(tokenize(F.col(text), config), n)).alias("gram"), F.lit(1).alias("n"))
+    return counts.groupBy("gram").agg(F.sum("n").alias("n"))
+
+
 # Weights ----------------------------------------------------------------------------------------------------
 
 
@@ -300,16 +322,37 @@ def statistics(text: Column, tokens: Column) -> Column:
     sentences = F.size(F.split(text, r"\."))
     n_bytes = F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.octet_length(w))
     keywords = F.size(F.filter(tokens, lambda t: t.isin(*lex.CLINICAL_KEYWORDS)))
+    return _ratios(F.size(tokens), sentences, F.size(words), n_bytes, keywords)
+
+
+def _ratios(tokens: Column, sentences: Column, words: Column, n_bytes: Column, keywords: Column) -> Column:
     return F.struct(
-        F.size(tokens).alias("token_count"),
+        tokens.alias("token_count"),
         sentences.alias("sentence_count"),
-        F.size(words).alias("word_count"),
-        F.try_divide(n_bytes.cast("double"), F.size(words)).alias("avg_word_length"),
-        F.try_divide(F.size(words).cast("double"), sentences).alias("avg_sentence_length"),
-        F.try_divide(keywords.cast("double"), F.size(tokens)).alias("clinical_keyword_density"),
+        words.alias("word_count"),
+        F.try_divide(n_bytes.cast("double"), words).alias("avg_word_length"),
+        F.try_divide(words.cast("double"), sentences).alias("avg_sentence_length"),
+        F.try_divide(keywords.cast("double"), tokens).alias("clinical_keyword_density"),
     )
 
 
+def text_statistics(text: Column, config: CleaningConfig = CleaningConfig()) -> Column:
+    """``statistics`` of a text and its tokens; of lower-cased texts an Arrow function returns the counts alone, from one cut.
+
+    Lower case leaves white space and full stops as they are, so what is not white space has the bytes of the text itself.
+    """
+    if not config.lowercase:
+        return statistics(text, tokenize(text, config))
+    rules = _rules(config)
+
+    def run(texts: pa.Array) -> pa.Array:
+        return text_sizes(texts, rules, lex.CLINICAL_KEYWORDS)
+
+    sizes = F.arrow_udf(run, "tokens long, keywords long, words long, sentences long, space long")(F.lower(text))
+    ratios = lambda s: _ratios(s["tokens"].cast("int"), s["sentences"].cast("int"), s["words"].cast("int"), F.octet_length(text) - s["space"], s["keywords"])
+    return _let(sizes, ratios)
+
+
 # Chain ------------------------------------------------------------------------------------------------------
 
 

@@ -50,11 +50,11 @@ def sequences(spark, sf_dir):
 
 
 def ngrams(spark, sf_dir):
-    return _docs(spark, sf_dir).select(F.explode(tx.ngrams(_tokens(), 2)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    return tx.ngram_counts(_docs(spark, sf_dir))
 
 
 def stats(spark, sf_dir):
-    out = _docs(spark, sf_dir).select("doc_id", tx.statistics(F.col("text"), _tokens()).alias("s")).select("doc_id", "s.*")
+    out = _docs(spark, sf_dir).select("doc_id", tx.text_statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
     return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("token_count", "sentence_count", "word_count")], *[F.round(c, 6).alias(c) for c in ("avg_word_length", "avg_sentence_length", "clinical_keyword_density")])
 
 
