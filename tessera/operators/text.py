@@ -24,6 +24,8 @@ _PUNCTUATION = "!\"#$&'()*,.:;?@[\\]^_`{|}~"
 _DROP_PUNCTUATION = r"[!\"#$&'()*,.:;?@\[\\\]^_`{|}~]"
 _FLOAT = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|inf|infinity|nan)$"
 PAD, UNK = 0, 1
+#: Partitions of counted runs for each split of the texts.
+RUN_PARTS = 8
 
 
 @dataclass(frozen=True)
@@ -233,8 +235,9 @@ def ngram_counts(docs: DataFrame, text: str = "text", n: int = 2, config: Cleani
         def run(batches):
             return run_counts(batches, rules, n)
 
-        # Most runs are rare, so another partial sum before the shuffle would cost more than it saves.
-        counts = docs.select(F.lower(text)).mapInArrow(run, "gram string, n long").repartition("gram")
+        # Most runs are rare, so another partial sum before the shuffle would cost more than it saves, and the different ones grow with the input.
+        parts = max(docs.rdd.getNumPartitions() * RUN_PARTS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        counts = docs.select(F.lower(text)).mapInArrow(run, "gram string, n long").repartition(parts, "gram")
     else:
         counts = docs.select(F.explode(ngrams(tokenize(F.col(text), config), n)).alias("gram"), F.lit(1).alias("n"))
     return counts.groupBy("gram").agg(F.sum("n").alias("n"))
