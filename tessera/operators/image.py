@@ -93,18 +93,23 @@ def equalize(df: DataFrame, g: Grid = GRID) -> DataFrame:
     """Pixels 0..255 replaced by the truncated share of pixels up to their value, times 255.
 
     The shares of the 256 values come from the sorted pixels of the row itself, so nothing is joined or shuffled.
+    An image with pixels outside that range has no such table: each pixel is looked up among the sorted ones.
     """
     p = F.col(g.pixels)
-    level = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(255)).cast("int")
+    level = lambda v: F.coalesce(F.floor(v), F.lit(0))
     let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
 
-    def table(s: Column) -> Column:
-        """For each value the mapped one; ``s`` are the pixels, rising."""
+    def mapped(s: Column) -> Column:
+        """The new pixels; ``s`` are the old ones, rising."""
         starts = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
         upto = lambda v, at: F.coalesce(F.get(F.filter(at, lambda i: F.get(s, i) > v), F.lit(0)), F.size(s))
-        return let(starts, lambda at: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: F.floor(upto(v, at).cast("long") * 255 / F.size(s)).cast("double")))
+        share = lambda v, at: F.floor(upto(v, at).cast("long") * 255 / F.size(s)).cast("double")
+        table = let(starts, lambda at: F.transform(F.sequence(F.lit(0), F.lit(255)), lambda v: share(v, at)))
+        known = let(table, lambda t: F.transform(p, lambda v: F.get(t, level(v).cast("int"))))
+        inside = (F.get(s, F.lit(0)) >= 0) & (F.get(s, F.size(s) - 1) <= 255)
+        return F.when(inside, known).otherwise(let(starts, lambda at: F.transform(p, lambda v: share(level(v), at))))
 
-    new = let(F.array_sort(F.transform(p, level)), lambda s: let(table(s), lambda t: F.transform(p, lambda v: F.get(t, level(v)))))
+    new = let(F.array_sort(F.transform(p, level)), mapped)
     return df.withColumn(g.pixels, F.when(F.size(p) > 0, new).otherwise(p))
 
 
