@@ -29,7 +29,9 @@ SCORES = """SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE (
   CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_custkey * 29 % 101) / 100e0 END AS text FROM customer"""
 
 #: The sum is one of floats, as in the SQL, also over vectors of doubles: a sum of doubles (which an integer literal gives, too) rounds some pixels down.
-GRIDS_SPARK = "SELECT vec_id AS image_id, 1 AS channels, 8 AS height, 8 AS width, transform(embedding, e -> CAST(floor(CAST(CAST(e AS float) + CAST(1 AS float) AS double) * 127.5e0) AS double)) AS pixels FROM embeddings"
+#: Spark's floor gives a long, which NaN, infinities and values beyond it don't fit: those, whole as they are, stay.
+_LEVELS = "transform(embedding, e -> CAST(CAST(e AS float) + CAST(1 AS float) AS double) * 127.5e0)"
+GRIDS_SPARK = f"SELECT vec_id AS image_id, 1 AS channels, 8 AS height, 8 AS width, transform({_LEVELS}, v -> CASE WHEN abs(v) < 9e15 THEN CAST(floor(v) AS double) ELSE v END) AS pixels FROM embeddings"
 GRIDS_DUCK = "SELECT vec_id AS image_id, list_transform(embedding, lambda e: floor((e::FLOAT + 1::FLOAT)::DOUBLE * 127.5e0)::DOUBLE) AS pixels FROM embeddings"
 
 NOTES = (

@@ -13,10 +13,20 @@ from ..session import spread
 from .fixtures import GRIDS_DUCK, GRIDS_SPARK, fixture
 
 
-def _grids(spark, sf_dir):
+def _vectors(spark, sf_dir):
     return spread(fixture(spark, sf_dir, GRIDS_SPARK))
 
 
+def _placed(df):
+    """``df`` with the 64 places of the grid that the SQL reads: NULL where a vector has no value, nothing after the last one."""
+    p = F.col("pixels")
+    return df.withColumn("pixels", F.when(F.size(p) == 64, p).otherwise(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get(p, i))))
+
+
+def _grids(spark, sf_dir):
+    return _placed(_vectors(spark, sf_dir))
+
+
 def _flat(df, digits=8):
     return im.held(df).select("image_id", F.posexplode("pixels").alias("i", "v")).select("image_id", "i", F.round("v", digits).alias("v"))
 
@@ -44,12 +54,12 @@ def feature_stack(spark, sf_dir):
 
 
 def fit(spark, sf_dir):
-    mean, std = im.ImagePreprocessor().fit(_grids(spark, sf_dir)).fitted
+    mean, std = im.ImagePreprocessor().fit(_vectors(spark, sf_dir)).fitted
     return spark.createDataFrame([(mean, std)], "mean double, std double").select(F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
 def process(spark, sf_dir):
-    grids = _grids(spark, sf_dir)
+    grids = _vectors(spark, sf_dir)
     return _flat(im.ImagePreprocessor().fit(grids).transform(grids))
 
 
@@ -64,7 +74,7 @@ def resize(spark, sf_dir):
 
 def failed_batch(spark, sf_dir):
     """A batch in which every third image has lost pixels: those become zero images."""
-    grids = _grids(spark, sf_dir)
+    grids = _vectors(spark, sf_dir)
     broken = F.when(F.col("image_id") % 6 == 0, F.slice("pixels", 1, 9)).when(F.col("image_id") % 3 == 0, None).otherwise(F.col("pixels"))
     return _flat(im.ImagePreprocessor().fit(grids).transform(grids.withColumn("pixels", broken)))
 
