@@ -54,10 +54,15 @@ def _inner(y: Column, x: Column, h: Column, w: Column) -> Column:
     return (y >= 1) & (y < h - 1) & (x >= 1) & (x < w - 1)
 
 
+def _whole(v: Column) -> Column:
+    """``floor`` as a double: NaN, infinities and what else a long can't hold are whole as they are."""
+    return F.when(F.abs(v) < 9e15, F.floor(v).cast("double")).otherwise(v)
+
+
 def to_luma(red: Column, green: Column, blue: Column) -> Column:
     """8-bit grey of three pixel arrays by the usual weights (an approximation of the decoder's own)."""
     rgb = F.arrays_zip(red.alias("r"), green.alias("g"), blue.alias("b"))
-    return F.transform(rgb, lambda v: F.floor((v["r"] * 2126 + v["g"] * 7152 + v["b"] * 722) / 10000).cast("double"))
+    return F.transform(rgb, lambda v: _whole((v["r"] * 2126 + v["g"] * 7152 + v["b"] * 722) / 10000))
 
 
 def resize(df: DataFrame, size: int, g: Grid = GRID) -> DataFrame:
