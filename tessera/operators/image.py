@@ -144,7 +144,7 @@ def normalize(kind: str, fitted: tuple[float, float] | None = None, g: Grid = GR
     p = F.col(g.pixels)
     if kind == "minmax":
         lo, hi = F.array_min(p), F.array_max(p)
-        return F.when(hi - lo > 0, F.transform(p, lambda v: (v - lo) / (hi - lo))).otherwise(p)
+        return F.when(hi > lo, F.transform(p, lambda v: (v - lo) / (hi - lo))).otherwise(p)
     if kind == "zscore" and fitted is not None:
         return F.transform(p, lambda v: (v - fitted[0]) / F.lit(fitted[1] if fitted[1] else None))
     if kind == "zscore":

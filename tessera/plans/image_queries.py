@@ -84,11 +84,16 @@ def luma(spark, sf_dir):
     return _flat(_grids(spark, sf_dir).withColumn("pixels", im.to_luma(p, F.reverse(p), F.transform(p, lambda v: 255 - v))))
 
 
+def minmax(spark, sf_dir):
+    """Least and largest are those of the whole vector, also where it is longer than the grid."""
+    return _flat(_placed(im.held(_vectors(spark, sf_dir).withColumn("pixels", im.normalize("minmax")))))
+
+
 QUERIES = {
     "img_luma": luma,
     "img_equalize": lambda spark, sf_dir: _flat(im.equalize(_grids(spark, sf_dir))),
     "img_blur3": _map(im.blur),
-    "img_minmax": _map(lambda: im.normalize("minmax")),
+    "img_minmax": minmax,
     "img_zscore": _map(lambda: im.normalize("zscore")),
     "img_clahe_identity": _map(lambda: im.normalize("clahe")),
     "img_flip": _map(im.flip),
