@@ -66,7 +66,10 @@ def to_luma(red: Column, green: Column, blue: Column) -> Column:
 
 
 def resize(df: DataFrame, size: int, g: Grid = GRID) -> DataFrame:
-    """Triangle-filtered resize of every channel to ``size`` x ``size``."""
+    """Triangle-filtered resize of every channel to ``size`` x ``size``.
+
+    Missing pixels add nothing; a channel without a pixel, or an image without an array, has none afterwards.
+    """
 
     def weights(n: int) -> np.ndarray:
         ratio = n / size
@@ -86,8 +89,14 @@ def resize(df: DataFrame, size: int, g: Grid = GRID) -> DataFrame:
             at = b.schema.get_field_index
             out = []
             for p, c, h, w in zip(b.column(at(g.pixels)).to_pylist(), *(b.column(at(x)).to_pylist() for x in (g.channels, g.height, g.width))):
+                if p is None:
+                    out.append(None)
+                    continue
                 img = np.array(p, float).reshape(c, h, w)
-                out.append((weights(h) @ img @ weights(w).T).ravel().tolist())
+                lost = np.array([v is None for v in p]).reshape(c, h, w) if None in p else np.zeros((c, 1, 1), bool)
+                img[np.broadcast_to(lost, img.shape)] = 0
+                made = (weights(h) @ img @ weights(w).T).reshape(c, size * size).tolist()
+                out.append([v for none, row in zip(lost.all(axis=(1, 2)), made) for v in ([None] * len(row) if none else row)])
             n = pa.array([size] * b.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([*(b.column(at(c)) for c in rest), n, n, pa.array(out, pa.list_(pa.float64()))], names=[*rest, g.height, g.width, g.pixels])
 
